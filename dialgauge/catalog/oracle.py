@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from . import fixtures as fx
 
-DAY_HEAD = "cast({t} // 1000000 as int)"
+# Digits that doubles are rounded to, filled in per query.
+DIGITS = "@D"
+
 YIDONG = "'139','138','137','159','151','158','150','136','187','182'"
 LIANTONG = "'130','132','131','186'"
 DIANXIN = "'189','180','133','156','153'"
@@ -58,28 +60,28 @@ def _with(body: str, *views: str, extra: dict[str, str] | None = None) -> str:
 # ---- pieces ------------------------------------------------------------------------------------
 
 
-def _agg(stat, value, where=None, digits=6):
+def _agg(stat, value, where=None):
     """One statistic, 0 for an empty slice."""
     tail = f" filter (where {where})" if where else ""
     if stat == "sum":
         return f"cast(coalesce(sum({value}){tail}, 0) as bigint)"
     if stat == "dsum":
-        return f"round(coalesce(sum({value}){tail}, 0), {digits})"
+        return f"round(coalesce(sum({value}){tail}, 0), @D)"
     if stat in ("max", "min"):
         return f"coalesce({stat}({value}){tail}, 0)"
     if stat in ("dmax", "dmin"):
-        return f"round(coalesce({stat[1:]}({value}){tail}, 0), {digits})"
+        return f"round(coalesce({stat[1:]}({value}){tail}, 0), @D)"
     fn = {"mean": "avg", "std": "stddev_samp", "median": "median"}[stat]
-    return f"round(coalesce({fn}({value}){tail}, 0), {digits})"
+    return f"round(coalesce({fn}({value}){tail}, 0), @D)"
 
 
-def _stats(value, prefixes, stats, digits=6, double=False):
+def _stats(value, prefixes, stats, double=False):
     """``{prefix: condition}`` x statistics as select items."""
     items = []
     for prefix, where in prefixes.items():
         for stat in stats:
             kind = "d" + stat if double and stat in ("sum", "max", "min") else stat
-            items.append(f"{_agg(kind, value, where, digits)} as {prefix}{stat}")
+            items.append(f"{_agg(kind, value, where)} as {prefix}{stat}")
     return items
 
 
@@ -150,7 +152,7 @@ def _daily_diff(prefix):
     outer = []
     for stat, fn in sql.items():
         diff = f"coalesce({fn}(n_in), 0) - coalesce({fn}(n_out), 0)"
-        diff = f"cast({diff} as bigint)" if stat in ("sum", "count") else f"round({diff}, 6)"
+        diff = f"cast({diff} as bigint)" if stat in ("sum", "count") else f"round({diff}, @D)"
         outer.append(f"{diff} as {prefix}in_out_diff_{stat}")
     return inner, outer
 
@@ -166,14 +168,14 @@ def _daily_counts(view, base, base_in, base_out, diff_prefix):
 
 V = {}
 V["voice_in_out"] = """select uid, tel_in, tel_out, tel_in + tel_out as tel_fre,
-    round((tel_out + 1) / (tel_in + 1), 6) as tel_in_out_ratio
+    round((tel_out + 1) / (tel_in + 1), @D) as tel_in_out_ratio
     from (select uid, count(*) filter (where io = 1) as tel_in, count(*) filter (where io = 0) as tel_out
           from v group by uid)"""
 V["voice_call_type_counts"] = _long("v", "tel_call_type", "tel_call_type", WAYS)
 for _name, _fn in {"mean": "avg", "sum": "sum", "max": "max"}.items():
     _in = f"coalesce({_fn}(len) filter (where io = 1), 0)"
     _out = f"coalesce({_fn}(len) filter (where io = 0), 0)"
-    _wrap = "round({}, 6)" if _name == "mean" else "cast({} as bigint)"
+    _wrap = "round({}, @D)" if _name == "mean" else "cast({} as bigint)"
     V[f"voice_len_{_name}"] = _per_user(
         "v",
         [
@@ -294,8 +296,6 @@ def _side_by_side(bodies):
     return f"select * from {joined}"
 
 
-# In the wide tables every double is rounded to three digits once more (six before: no second rounding
-# can move a value across, except at an exact half, which the six-digit value keeps).
 _VOICE_GROUPS = [
     "voice_in_out",
     "voice_len_mean",
@@ -312,3 +312,451 @@ _VOICE_GROUPS = [
     "voice_operator_len_stats",
     "voice_operator_counts",
 ]
+
+# ---- SMS ---------------------------------------------------------------------------------------
+
+S = {}
+S["sms_daily_count_stats"] = _daily_counts("s", "msg_date_", "msg_in_date_", "msg_out_date_", "msg_date_")
+S["sms_bag_counts"] = _per_user(
+    "s", _counts({f"msg_date_cnt_cat_{b}_count": c for b, c in enumerate(_bags("dt"))})
+)
+S["sms_day_counts"] = _long("s", "dt", "smg_date", WAYS)
+S["sms_head_counts"] = _long("s", "smg_opp_head", "smg_opp_head", WAYS)
+_OPS = ["yidong", "liantong", "dianxin", "other"]
+S["sms_operator_counts"] = _per_user(
+    "s",
+    _counts(
+        {
+            f"{o}_msg_{w}count": f"op = '{o}' and {c}"
+            for w, c in {"": "true", "in_": "io = 1", "out_": "io = 0"}.items()
+            for o in _OPS
+        }
+    ),
+)
+S["sms_operator_in_out_diff"] = _per_user(
+    "s",
+    [
+        f"coalesce(nullif(count(*) filter (where op = '{o}' and io = 1), 0) "
+        f"- nullif(count(*) filter (where op = '{o}' and io = 0), 0), 0) as {o}_smg_diff_cnt"
+        for o in _OPS
+    ],
+)
+S["sms_hot_number_counts"] = f"""select uid, value_group, count(*) as n from (
+    select uid, case when smg_opp_num in (select smg_opp_num from s group by smg_opp_num
+                     having count(*) > {fx.SMS_BAND[0]} and count(*) < {fx.SMS_BAND[1]})
+                     then smg_opp_num else 'other' end as value_group from s) group by uid, value_group"""
+S["sms_short_number_counts"] = _long("s", "smg_opp_num", "smg_opp_num", {"all": "true"}, "smg_opp_len <= 7")
+
+
+def _unique(column, where="true"):
+    """Different values, a missing one included."""
+    return (
+        f"(count(distinct {column}) filter (where {where}) "
+        f"+ coalesce(max(case when {column} is null and {where} then 1 end), 0))"
+    )
+
+
+S["sms_opp_len_class"] = _per_user(
+    "s",
+    [f"{_unique('smg_opp_num')} as smg_opp_unique_count", "count(smg_opp_num) as smg_opp_count"]
+    + [
+        item
+        for n, c in _lengths("smg_opp_len").items()
+        for item in (
+            f"{_unique('smg_opp_num', c)} as smg_opp_{n}_unique_count",
+            f"count(smg_opp_num) filter (where {c}) as smg_opp_{n}_count",
+        )
+    ],
+)
+S["sms_opp_len_class_ratio"] = "select uid, {} from ({})".format(
+    ", ".join(
+        f"round(smg_opp_{n}_{full} / smg_opp_{full}, @D) as smg_opp_{n}_{short}_ratio"
+        for n in _lengths("x")
+        for short, full in {"unique": "unique_count", "cnt": "count"}.items()
+    ),
+    S["sms_opp_len_class"],
+)
+S["sms_in_out"] = """select uid, smg_in_cnt, smg_out_cnt, smg_in_cnt - smg_out_cnt as smg_in_out_cnt_diff from (
+    select uid, count(*) filter (where io = 1) as smg_in_cnt, count(*) filter (where io = 0) as smg_out_cnt
+    from s group by uid)"""
+S["sms_foreign"] = _per_user("s", _counts({"foreign_fre": "smg_opp_head = '000'"}))
+S["sms_hour_class_counts"] = _per_user(
+    "s",
+    _counts(
+        {
+            f"{p}hour_div_{k}": f"({h}) and {c}"
+            for p, c in {"msg_": "true", "msg_in_": "io = 1", "msg_out_": "io = 0"}.items()
+            for k, h in enumerate(HOURS)
+        }
+    ),
+)
+S["sms_hour_counts"] = _long("s", "hr", "smg_hour", {"all": "true"})
+S["sms_opp_len_counts"] = _long("s", "smg_opp_len", "smg_opp_len", WAYS)
+
+
+def _unique_diff(column):
+    seen = [f"nullif({_unique(column, c)}, 0)" for c in ("io = 1", "io = 0")]
+    return f"coalesce({seen[0]} - {seen[1]}, 0)"
+
+
+S["sms_distinct"] = _per_user(
+    "s",
+    [
+        f"{_unique(f'smg_opp_{what}', c)} as smg_{way}opp_{what}_unique"
+        for what in ["num", "head"]
+        for way, c in {"": "true", "in_": "io = 1", "out_": "io = 0"}.items()
+    ]
+    + [f"{_unique_diff(f'smg_opp_{what}')} as smg_in_out_opp_{what}_unique_diff" for what in ["num", "head"]],
+)
+_inner, _outer = _daily_io(
+    {"smg_date_": "n_all", "smg_in_date_": "n_in", "smg_out_date_": "n_out"}, ["std", "max", "median"]
+)
+S["sms_daily_spread"] = _two_level("s", "dt", _inner, _outer)
+S["sms_home"] = """select uid, count(*) as smg_fre,
+    count(*) - count(*) filter (where smg_opp_head = '000') as home_fre from s group by uid"""
+
+_SM = fx.MANIFESTS["sms"]
+SMS_ONE_HOT = [
+    _one_hot(
+        "s", "dt", _SM["day"], {"true": "msg_date_{}", "io = 1": "msg_in_date_{}", "io = 0": "msg_out_date_{}"}, True
+    ),
+    _one_hot(
+        "s",
+        "smg_opp_head",
+        _SM["head"],
+        {"true": "smg_opp_head_{}", "io = 1": "msg_in_opp_head_cat_{}", "io = 0": "msg_out_opp_head_cat_{}"},
+    ),
+    _one_hot(
+        "s",
+        "smg_opp_len",
+        _SM["len"],
+        {"true": "msg_opp_len_{}", "io = 1": "msg_in_opp_len_{}", "io = 0": "msg_out_opp_len_{}"},
+        True,
+    ),
+    _one_hot("s", "smg_opp_num", _SM["short"], {"smg_opp_len <= 7": "smg_opp_num_{}"}),
+]
+_SMS_GROUPS = [
+    "sms_daily_count_stats",
+    "sms_bag_counts",
+    "sms_operator_counts",
+    "sms_operator_in_out_diff",
+    "sms_opp_len_class",
+    "sms_opp_len_class_ratio",
+    "sms_in_out",
+    "sms_foreign",
+    "sms_distinct",
+    "sms_daily_spread",
+    "sms_home",
+]
+
+# ---- web and apps ------------------------------------------------------------------------------
+
+W = {}
+W["wa_distinct_names"] = _per_user(
+    "w",
+    [
+        f"{_unique('wa_name', c)} as wa_name_{t}unique_count"
+        for t, c in {"": "true", "web_": "wa_type = 0", "app_": "wa_type = 1"}.items()
+    ],
+)
+_SKEWED = f"""select wa_name, bad_times, good_times, bad_times / p as bad_ratio, good_times / q as good_ratio,
+        bad_times / p - good_times / q as diff
+    from (select wa_name, count(distinct uid) filter (where label = 1) as bad_times,
+                 count(distinct uid) filter (where label = 0) as good_times
+          from wa join known using (uid) where wa_name is not null group by wa_name),
+         (select count(*) filter (where label = 1) as p, count(*) filter (where label = 0) as q from known)
+    where bad_times >= {fx.MIN_BAD} and good_times <= {fx.MAX_GOOD}"""
+W["wa_skewed_names"] = f"""select wa_name, bad_times, good_times, round(bad_ratio, @D) as bad_ratio,
+    round(good_ratio, @D) as good_ratio, round(diff, @D) as diff from ({_SKEWED}) order by diff desc, wa_name"""
+W["wa_skewed_name_counts"] = f"""select uid, wa_name, count(*) as n from wa
+    where wa_name in (select wa_name from ({_SKEWED})) group by uid, wa_name"""
+W["wa_hot_name_counts"] = f"""select uid, wa_name, count(*) as n from w
+    where wa_name in (select wa_name from w group by wa_name having count(*) > {fx.WEB_HOT}) group by uid, wa_name"""
+
+
+def _shares(total, part, prefix, suffix):
+    return _per_user(
+        "w",
+        [
+            f"round(coalesce({part.format(c)} / nullif({total}, 0), 0), @D) as {prefix}{b}_{suffix}"
+            for b, c in enumerate(_bags("wa_date"))
+        ],
+    )
+
+
+W["wa_bag_flow_share"] = _shares(
+    "sum(down_flow)", "sum(down_flow) filter (where {})", "wa_date_cat_flow_", "sum"
+)
+W["wa_bag_count_share"] = _shares("count(*)", "count(*) filter (where {})", "wa_date_cat_", "count")
+W["wa_bag_dura_share"] = _shares(
+    "sum(visit_dura)", "sum(visit_dura) filter (where {})", "wa_date_cat_dura_", "sum"
+)
+W["wa_row_counts"] = """select *, wa_web_count - wa_app_count as wa_cnt_diff from (
+    select uid, count(wa_name) as wa_count, count(wa_name) filter (where wa_type = 0) as wa_web_count,
+        count(wa_name) filter (where wa_type = 1) as wa_app_count from w group by uid)"""
+_WEB_STATS = ["std", "max", "median", "mean", "sum"]
+
+
+def _web_daily(value, prefixes, diff_name, diff):
+    inner = [
+        f"cast(sum({value}) as bigint) as d_all",
+        f"cast(sum({value}) filter (where wa_type = 0) as bigint) as d_web",
+        f"cast(sum({value}) filter (where wa_type = 1) as bigint) as d_app",
+    ]
+    outer = []
+    for prefix, column in zip(prefixes, ["d_all", "d_web", "d_app"]):
+        outer += _stats(column, {prefix: None}, ["sum", "std", "max", "mean", "median"])
+    return _two_level("w", "wa_date", inner, outer, [f"{diff} as {diff_name}"])
+
+
+W["wa_daily_visit_stats"] = _web_daily(
+    "visit_cnt",
+    ["wa_visit_cnt_date_", "wa_web_visit_cnt_date_", "wa_app_visit_cnt_date_"],
+    "wa_visit_cnt_date_diff",
+    "wa_web_visit_cnt_date_sum - wa_app_visit_cnt_date_sum",
+)
+
+
+def _by_type(what):
+    return {f"wa_{what}_": None, f"wa_web_{what}_": "wa_type = 0", f"wa_app_{what}_": "wa_type = 1"}
+
+
+W["wa_visit_stats"] = "select *, wa_web_visit_cnt_sum - wa_app_visit_cnt_sum as wa_visit_cnt_diff from ({})".format(
+    _per_user("w", _stats("visit_cnt", _by_type("visit_cnt"), _WEB_STATS))
+)
+W["wa_daily_dura_stats"] = _web_daily(
+    "visit_dura",
+    ["wa_visit_dura_date_", "wa_visit_web_dura_date_", "wa_visit_app_dura_date_"],
+    "wa_visit_dura_date_diff",
+    "wa_visit_web_dura_date_sum - wa_visit_app_dura_date_sum",
+)
+W["wa_dura_decade_counts"] = _per_user(
+    "w",
+    _counts(
+        {
+            "wa_visit_dura_cat_0": "visit_dura < 10",
+            **{f"wa_visit_dura_cat_{k}": f"visit_dura >= {10**k} and visit_dura < {10 ** (k + 1)}" for k in range(1, 7)},
+            "wa_visit_dura_cat_7": "visit_dura >= 10000000",
+        }
+    ),
+)
+W["wa_up_flow_stats"] = _per_user("w", _stats("up_flow", _by_type("up_flow"), _WEB_STATS))
+W["wa_down_flow_stats"] = _per_user("w", _stats("down_flow", _by_type("down_flow"), _WEB_STATS))
+W["wa_flow_amount_stats"] = _per_user("w", _stats("flow", _by_type("amount_flow"), _WEB_STATS))
+W["wa_active_days"] = "select uid, count(distinct wa_date) as wa_active_days from w group by uid"
+W["wa_daily_per_visit_stats"] = _two_level(
+    "w",
+    "wa_date",
+    ["sum(per_visit) as d"],
+    _stats("d", {"wa_visit_per_dura_": None}, ["sum", "std", "max", "mean", "median"], double=True),
+)
+W["wa_speed_stats"] = _per_user(
+    "w",
+    _stats("dl", {"download_speed_": None}, _WEB_STATS, double=True)
+    + _stats("ul", {"upload_speed_": None}, _WEB_STATS, double=True)
+    + _stats("dl + ul", {"amount_speed_": None}, _WEB_STATS, double=True),
+)
+_WM = fx.MANIFESTS["wa"]
+WEB_ONE_HOT = [
+    _one_hot("w", "wa_name", _WM["bad"], {"true": "bad_wa_names_{}_cnt"}),
+    _one_hot("w", "wa_name", _WM["hot"], {"true": "hot_wa_names_{}_cnt"}),
+]
+_WEB_GROUPS = [
+    "wa_distinct_names",
+    "wa_bag_flow_share",
+    "wa_bag_count_share",
+    "wa_bag_dura_share",
+    "wa_row_counts",
+    "wa_daily_visit_stats",
+    "wa_visit_stats",
+    "wa_daily_dura_stats",
+    "wa_dura_decade_counts",
+    "wa_up_flow_stats",
+    "wa_down_flow_stats",
+    "wa_flow_amount_stats",
+    "wa_active_days",
+    "wa_daily_per_visit_stats",
+    "wa_speed_stats",
+]
+
+# ---- wide tables -------------------------------------------------------------------------------
+
+VOICE_MATRIX = _side_by_side([V[g] for g in _VOICE_GROUPS] + VOICE_ONE_HOT)
+SMS_MATRIX = _side_by_side([S[g] for g in _SMS_GROUPS] + SMS_ONE_HOT)
+WEB_MATRIX = _side_by_side([W[g] for g in _WEB_GROUPS] + WEB_ONE_HOT)
+_MATRICES = {"vm": VOICE_MATRIX, "sm": SMS_MATRIX, "wm": WEB_MATRIX}
+
+
+def _filled(source, kept):
+    return f"select {kept}, coalesce(columns(* exclude ({kept})), 0) from ({source})"
+
+
+def _for_users(users, kept):
+    source = (
+        f"select * from ({users}) left join vm using (uid) left join sm using (uid) left join wm using (uid)"
+    )
+    return _filled(source, kept)
+
+
+# ---- rows, joins, scores -----------------------------------------------------------------------
+
+_VOICE_COLUMNS = "uid, tel_opp_num, tel_opp_head, tel_opp_len, tel_start_time, tel_end_time, tel_call_type, tel_in_and_out"
+_HASH = "cast('0x' || substr(md5(uid || ':42'), 1, 8) as bigint) % 100 < 25"
+
+SCORES = " union all ".join(
+    f"select uid, '{f}' as family, {s} as seed, avg(case when "
+    + (f"(tel_opp_len + {s}) % 5 < 2" if f == "deep" else f"(hr + {s}) % 4 < 2")
+    + " then 1e0 else 0e0 end) as score from v group by uid"
+    for f, seeds in {"deep": [0, 7, 14], "shallow": [0, 1, 2]}.items()
+    for s in seeds
+)
+AVERAGED = "select uid, family, avg(score) as score from scores group by uid, family"
+BLENDED = """select uid, sum(case family when 'deep' then 0.96::double * score else 1.04::double * score end) as blend
+    from averaged group by uid"""
+LABELLED = "select uid, blend, case when blend >= 0.911::double then 1 else 0 end as label from blended"
+SCORED = "select uid, label, round(score, 9) as score from averaged join known using (uid) where family = 'deep'"
+_CHAIN = {"scores": SCORES, "averaged": AVERAGED, "blended": BLENDED, "labelled": LABELLED}
+
+AUC = """(select sum(case when a.score > b.score then 1e0 when a.score = b.score then 0.5e0 else 0e0 end)
+         / nullif(count(*), 0) from scored a, scored b where a.label = 1 and b.label = 0)"""
+F1 = """(select coalesce(2 * count(*) filter (where score >= 0.3 and label = 1)
+         / nullif(2 * count(*) filter (where score >= 0.3 and label = 1)
+                  + count(*) filter (where score >= 0.3 and label = 0)
+                  + count(*) filter (where score < 0.3 and label = 1), 0), 0) from scored)"""
+
+
+def _scored(body):
+    return _with(body, "v", "known", extra={"scores": SCORES, "averaged": AVERAGED, "scored": SCORED})
+
+
+def _chain(body):
+    return _with(body, "v", "known", extra=_CHAIN)
+
+
+def _class_case(conditions):
+    return "case " + " ".join(f"when {c} then '{n}'" for n, c in conditions.items()) + " end"
+
+
+ROWS = {
+    "read_voice": _with("select * from voice", "voice"),
+    "read_sms": _with("select * from sms", "sms"),
+    "read_wa": _with("select * from wa", "wa"),
+    "read_labels": _with("select uid, label from known", "known"),
+    "test_roster": _with(
+        "select 'u' || cast(range as varchar) as uid from range(5000, 5000 + (select count(*) from roster))", "roster"
+    ),
+    "read_predictions": _with("select uid, label from known", "known"),
+    "write_submission": _chain("select uid, label from labelled"),
+    "union_rounds": _with(f"select {_VOICE_COLUMNS} from voice", "voice"),
+    "union_pseudo_labels": _chain(
+        "select uid, label from known union all "
+        "select uid, label from labelled where uid not in (select uid from known)"
+    ),
+    "call_duration": _with("select uid, tel_start_time, tel_end_time, len as tel_len from v", "v"),
+    "call_day_hour": _with("select uid, tel_start_time, dt as tel_date, hr as tel_hour from v", "v"),
+    "sms_day_hour": _with("select uid, smg_start_time, dt as smg_date, hr as smg_hour from s", "s"),
+    "day_bag": _with("select uid, wa_date, (wa_date - 1) // 5 as bag from wa where (wa_date - 1) // 5 < 9", "wa"),
+    "number_length_class": _with(
+        f"select uid, smg_opp_len, {_class_case(_lengths('smg_opp_len'))} as cls from sms", "sms"
+    ),
+    "hour_class": _with(
+        "select uid, hr as tel_hour, "
+        + ", ".join(f"cast(({h}) as int) as class_{k}" for k, h in enumerate(HOURS))
+        + " from v",
+        "v",
+    ),
+    "call_length_class": _with(
+        """select uid, len as tel_len, case when len <= 120 then 'short' when len <= 600 then 'mid' else 'long' end
+        as cls from v""",
+        "v",
+    ),
+    "duration_decade": _with(
+        "select uid, visit_dura, case when visit_dura < 10 then 0 else least(len(cast(visit_dura as varchar)) - 1, 7) "
+        "end as decade from wa",
+        "wa",
+    ),
+    "operator_class": _with(
+        "select 'voice' as source, uid, tel_opp_head as head, op as operator from v union all "
+        "select 'sms', uid, smg_opp_head, op from s",
+        "v",
+        "s",
+    ),
+    "wa_rates": _with(
+        """select uid, wa_date, round(per_visit, @D) as visit_per_dura, flow as flow_amount,
+        round(dl, @D) as download_speed, round(ul, @D) as upload_speed, round(dl + ul, @D) as amount_speed from w""",
+        "w",
+    ),
+    "slice_rows": _with("select * from voice where tel_in_and_out = 1", "voice"),
+    "truncate_features": _with(
+        "select uid, cast(trunc(columns(* exclude (uid))) as bigint) from ("
+        + S["sms_daily_count_stats"].replace("@D", "12")
+        + ")",
+        "s",
+    ),
+    "domain_outer": _with(
+        _filled("select * from vm full join sm using (uid) full join wm using (uid)", "uid"),
+        "v",
+        "s",
+        "w",
+        extra=_MATRICES,
+    ),
+    "train_matrix": _with(
+        _for_users("select uid, label from known", "uid, label"), "v", "s", "w", "known", extra=_MATRICES
+    ),
+    "score_matrix": _with(
+        _for_users("select uid from roster where label is null", "uid"), "v", "s", "w", "roster", extra=_MATRICES
+    ),
+    "full_feature_matrix": _with(
+        _for_users("select uid, label from roster", "uid, label"), "v", "s", "w", "roster", extra=_MATRICES
+    ),
+    "hot_value_split": _with(
+        f"""select uid, tel_opp_num, tel_start_time, case when tel_opp_num in (
+        select tel_opp_num from voice group by tel_opp_num having count(*) > {fx.VOICE_HOT})
+        then tel_opp_num else 'other' end as value_group from voice""",
+        "voice",
+    ),
+    "feature_group_outer": _with(_side_by_side([V[g] for g in _VOICE_GROUPS]), "v"),
+    "voice_feature_matrix": _with(VOICE_MATRIX, "v"),
+    "sms_feature_matrix": _with(SMS_MATRIX, "s"),
+    "wa_feature_matrix": _with(WEB_MATRIX, "w"),
+    "holdout_split": _with(f"select uid, label, case when {_HASH} then 1 else 0 end as held from known", "known"),
+    "seed_average": _chain("select uid, family, round(score, @D) as score from averaged"),
+    "weighted_blend": _chain("select uid, round(blend, @D) as blend from blended"),
+    "threshold_label": _chain("select uid, round(blend, @D) as blend, label from labelled"),
+    "rank_submission": _chain(
+        "select uid, round(blend, @D) as blend, label from labelled order by labelled.blend desc, uid"
+    ),
+    "auc": _scored(f"select round({AUC}, @D) as auc"),
+    "f1_at": _scored(f"select round({F1}, @D) as f1"),
+    "combined_score": _scored(
+        f"select round(auc, @D) as auc, round(f1, @D) as f1, round(0.6::double * auc + 0.4::double * f1, @D) as res "
+        f"from (select {AUC} as auc, {F1} as f1)"
+    ),
+}
+
+# Queries whose doubles carry three digits: the same as on the Spark side.
+THREE_DIGITS = {
+    "domain_outer",
+    "train_matrix",
+    "score_matrix",
+    "full_feature_matrix",
+    "feature_group_outer",
+    "voice_feature_matrix",
+    "sms_feature_matrix",
+    "wa_feature_matrix",
+    "wa_daily_dura_stats",
+    "wa_up_flow_stats",
+    "wa_down_flow_stats",
+    "wa_flow_amount_stats",
+    "wa_daily_per_visit_stats",
+    "wa_speed_stats",
+}
+
+
+def oracle_texts() -> dict[str, str]:
+    """Every text, with its digits filled in."""
+    texts = dict(ROWS)
+    texts.update({n: _with(sql, "v") for n, sql in V.items()})
+    texts.update({n: _with(sql, "s") for n, sql in S.items()})
+    texts.update({n: _with(sql, "w", "known") for n, sql in W.items()})
+    return {n: sql.replace("@D", "3" if n in THREE_DIGITS else "6") for n, sql in texts.items()}

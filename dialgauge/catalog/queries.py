@@ -73,9 +73,12 @@ def _labelled(spark, sf):
 
 
 def _scored(spark, sf):
-    """(label, score) of the labelled users: the seed average of the deep family."""
+    """(label, score) of the labelled users: the seed average of the deep family.
+
+    Rounded, because averages of equal shares may differ in the last bit and would not tie.
+    """
     averaged = scoring.seed_average(fx.scores(calls(spark, sf))).filter("family = 'deep'")
-    return averaged.join(labels(spark, sf), "uid").select("uid", "label", "score")
+    return averaged.join(labels(spark, sf), "uid").select("uid", "label", F.round("score", 9).alias("score"))
 
 
 def _roster_size(spark, sf):
