@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from .. import sources
 from ..functions import derive as d
+from ..functions.text import named
 from ..operators import hot_value_split, values_in_band
 from ..plans import assemble, models, scoring
 from ..plans import sms as sms_plan
@@ -25,7 +26,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 def rounded(rows: DataFrame, digits: int = 6) -> DataFrame:
     """Doubles rounded, so that two engines' last bits do not matter."""
     doubles = {f.name for f in rows.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
-    return rows.select([F.round(f"`{c}`", digits).alias(c) if c in doubles else F.col(f"`{c}`") for c in rows.columns])
+    return rows.selectExpr(
+        *[f"round({named(c)}, {digits}) as {named(c)}" if c in doubles else named(c) for c in rows.columns]
+    )
 
 
 def calls(spark, sf):

@@ -11,3 +11,8 @@ def quoted(value: str) -> str:
 def quoted_list(values) -> str:
     """Literals for an ``IN`` list."""
     return ", ".join(quoted(v) for v in values)
+
+
+def named(column: str) -> str:
+    """A column name as an identifier."""
+    return "`" + column.replace("`", "``") + "`"

@@ -101,20 +101,39 @@ def day_stats(measures: dict[str, str], stats: list[str]) -> Exprs:
 
 
 def _zero_filled(aggs: Exprs):
-    return [F.expr(f"coalesce({sql}, 0)").alias(name) for name, sql in aggs.items()]
+    return [F.expr(f"coalesce({sql}, 0) as `{name}`") for name, sql in aggs.items()]
 
 
 def _finished(grouped: DataFrame, names, derived: Exprs, key: str) -> DataFrame:
-    kept = [n for n in names if not n.startswith("_")]
-    extra = [F.expr(sql).alias(n) for n, sql in derived.items()]
-    return grouped.select(key, *kept, *extra)
+    kept = [f"`{n}`" for n in names if not n.startswith("_")]
+    return grouped.selectExpr(key, *kept, *[f"{sql} as `{n}`" for n, sql in derived.items()])
+
+
+def _middle(values: str) -> str:
+    """Median of a sorted array, 0 if it is empty."""
+    return f"coalesce((get({values}, (size({values}) - 1) div 2) + get({values}, size({values}) div 2)) / 2, 0)"
+
+
+def local_medians(rows: DataFrame, medians: Exprs, key: str = "uid") -> DataFrame:
+    """Medians of ordinary users: at most ``hot_rows`` values each, so they are gathered and sorted,
+    which is several times faster than the value maps of ``median``."""
+    gathered = [F.expr(f"sort_array(collect_list(cast({sql} as double))) as `{n}`") for n, sql in medians.items()]
+    return rows.groupBy(key).agg(*gathered).selectExpr(key, *[f"{_middle(f'`{n}`')} as `{n}`" for n in medians])
 
 
 def flat_local(rows: DataFrame, spec: Flat, key: str = "uid") -> DataFrame:
-    """A flat group with medians inside the aggregation: for rows without hot users."""
-    medians = {n: f"median({sql})" for n, sql in spec.medians.items()}
-    grouped = rows.groupBy(key).agg(*_zero_filled({**spec.aggs, **medians}))
-    return _finished(grouped, [*spec.aggs, *medians], spec.derived, key)
+    """A flat group for rows that are placed by user and hold no hot user.
+
+    Gathering for medians would take generated code away from all the other aggregates, so it is an
+    aggregation of its own; the join finds both sides in place.
+    """
+    if not spec.medians:
+        grouped = rows.groupBy(key).agg(*_zero_filled(spec.aggs))
+    elif not spec.aggs:
+        grouped = local_medians(rows, spec.medians, key)
+    else:
+        grouped = rows.groupBy(key).agg(*_zero_filled(spec.aggs)).join(local_medians(rows, spec.medians, key), key)
+    return _finished(grouped, [*spec.aggs, *spec.medians], spec.derived, key)
 
 
 def flat_hot(rows: DataFrame, spec: Flat, n_hot: int, key: str = "uid") -> DataFrame:
@@ -151,7 +170,7 @@ def daily_features(rows: DataFrame, spec: Daily, key: str = "uid") -> DataFrame:
     days = (
         rows.filter(f"{spec.day} is not null")
         .groupBy(key, spec.day)
-        .agg(*[F.expr(sql).alias(n) for n, sql in spec.measures.items()])
+        .agg(*[F.expr(f"{sql} as `{n}`") for n, sql in spec.measures.items()])
     )
     return _finished(days.groupBy(key).agg(*_zero_filled(spec.aggs)), spec.aggs, spec.derived, key)
 
@@ -168,7 +187,7 @@ def keyed_features(rows: DataFrame, spec: Keyed, key: str = "uid") -> DataFrame:
         entries = ", ".join(f"'{dim}', cast({sql} as string)" for dim, sql in spec.dims.items())
         keyed = rows.selectExpr("*", f"stack({len(spec.dims)}, {entries}) as (dim, key)")
     if spec.counts:
-        groups = keyed.groupBy(key, "dim", "key").agg(*[F.expr(sql).alias(n) for n, sql in spec.counts.items()])
+        groups = keyed.groupBy(key, "dim", "key").agg(*[F.expr(f"{sql} as `{n}`") for n, sql in spec.counts.items()])
     else:
         groups = keyed.select(key, "dim", "key").distinct()
     return _finished(groups.groupBy(key).agg(*_zero_filled(spec.aggs)), spec.aggs, spec.derived, key)

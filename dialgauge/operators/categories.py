@@ -12,6 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import named
+
 Manifest = dict[str, list[str]]
 
 
@@ -90,6 +92,6 @@ def wide_counts(
     for dim, category in categories.items():
         for v in manifest.get(dim, []):
             for s, template in category.columns.items():
-                source = (f"{dim}={v}" if len(slices) == 1 else f"{dim}={v}_{s}").replace("`", "``")
-                out.append(F.coalesce(F.col(f"`{source}`"), F.lit(0)).alias(template.format(v)))
-    return wide.select(key, *out)
+                source = f"{dim}={v}" if len(slices) == 1 else f"{dim}={v}_{s}"
+                out.append(f"coalesce({named(source)}, 0) as {named(template.format(v))}")
+    return wide.selectExpr(key, *out)

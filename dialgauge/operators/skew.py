@@ -1,8 +1,8 @@
 """Very active users: telling them apart, and exact medians that no single task has to hold.
 
 Counts, sums and spreads need no care: Spark adds them up before the shuffle. An exact median does,
-because ``median`` keeps every distinct value of a group in one task. So users above ``hot_rows``
-rows are split off and their medians are found by narrowing: count values in a few thousand buckets,
+because it needs a group's values in one task. So users above ``hot_rows`` rows are split off and
+their medians are found by narrowing: count values in a few thousand buckets,
 step into the bucket that holds the middle rank, repeat.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 # A user with more rows than this is hot. At most (all rows / HOT_ROWS) users can be.
-HOT_ROWS = 1_000_000
+HOT_ROWS = 500_000
 
 # Rank searches (hot users x medians) whose state may be broadcast: some 60 bytes each.
 BROADCAST_STATES = 1_000_000
@@ -26,7 +26,7 @@ def split_hot(rows: DataFrame, hot_rows: int = HOT_ROWS, key: str = "uid") -> tu
     """Rows of ordinary users, rows of hot users (None if there are none), and the number of hot users.
 
     The count reads the key column only. The list of hot users has at most all rows / hot_rows
-    entries, so with the default even 10^12 rows give no more than 10^6 short keys to broadcast.
+    entries: with the default, 10^12 rows give no more than 2 * 10^6 short keys to broadcast.
     """
     hot = rows.groupBy(key).count().filter(F.col("count") > hot_rows).select(key)
     n_hot = hot.count()
