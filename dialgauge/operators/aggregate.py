@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .skew import HOT_ROWS, grouped_medians, split_hot
+from .wide import join_wide
 
 Exprs = dict[str, str]
 
@@ -121,39 +122,64 @@ def local_medians(rows: DataFrame, medians: Exprs, key: str = "uid") -> DataFram
     return rows.groupBy(key).agg(*gathered).selectExpr(key, *[f"{_middle(f'`{n}`')} as `{n}`" for n in medians])
 
 
-def flat_local(rows: DataFrame, spec: Flat, key: str = "uid") -> DataFrame:
-    """A flat group for rows that are placed by user and hold no hot user.
+# Fields of a row that whole-stage code generation takes (spark.sql.codegen.maxFields is 100): a wider
+# aggregate runs several times slower per row.
+AGGREGATE_FIELDS = 90
+BUFFER_FIELDS = {"stddev_samp": 3, "avg": 2}
+
+
+def narrow_groups(aggs: Exprs, limit: int = AGGREGATE_FIELDS) -> list[Exprs]:
+    """Aggregates in as few groups as keep each within ``limit`` fields, in the order given."""
+    groups: list[Exprs] = []
+    room = 0
+    for name, sql in aggs.items():
+        need = BUFFER_FIELDS.get(sql.partition("(")[0], 1)
+        if need > room:
+            groups.append({})
+            room = limit
+        groups[-1][name] = sql
+        room -= need
+    return groups
+
+
+def _flat_parts(rows: DataFrame, spec: Flat, n_hot: int | None, key: str) -> list[DataFrame]:
+    """The aggregations of a flat group, every one with all users first.
 
-    Gathering for medians would take generated code away from all the other aggregates, so it is an
-    aggregation of its own; the join finds both sides in place.
+    Wide groups, and gathering for medians, would run without generated code. So they become several
+    aggregations, each over the columns it needs.
     """
-    if not spec.medians:
-        grouped = rows.groupBy(key).agg(*_zero_filled(spec.aggs))
-    elif not spec.aggs:
-        grouped = local_medians(rows, spec.medians, key)
-    else:
-        grouped = rows.groupBy(key).agg(*_zero_filled(spec.aggs)).join(local_medians(rows, spec.medians, key), key)
-    return _finished(grouped, [*spec.aggs, *spec.medians], spec.derived, key)
+    parts = [rows.groupBy(key).agg(*_zero_filled(group)) for group in narrow_groups(spec.aggs)]
+    if spec.medians and n_hot is None:
+        parts.append(local_medians(rows, spec.medians, key))
+    elif spec.medians:
+        parts = parts or [rows.select(key).distinct()]
+        parts.append(grouped_medians(rows, spec.medians, n_hot, key))
+    return parts
+
+
+def flat_local(rows: DataFrame, spec: Flat, key: str = "uid") -> DataFrame:
+    """A flat group for rows without hot users; with medians, placed by user."""
+    return _finished(_joined_parts(_flat_parts(rows, spec, None, key), key), _names(spec), spec.derived, key)
 
 
 def flat_hot(rows: DataFrame, spec: Flat, n_hot: int, key: str = "uid") -> DataFrame:
     """A flat group for hot users: partial aggregates as ever, medians by narrowing."""
-    names = [*spec.aggs, *spec.medians]
-    if spec.aggs:
-        grouped = rows.groupBy(key).agg(*_zero_filled(spec.aggs))
-    else:
-        grouped = rows.select(key).distinct()
-    if spec.medians:
-        medians = grouped_medians(rows, spec.medians, n_hot, key)
-        grouped = grouped.join(medians, key, "left").na.fill(0.0, list(spec.medians))
-    return _finished(grouped, names, spec.derived, key)
+    return _finished(_joined_parts(_flat_parts(rows, spec, n_hot, key), key), _names(spec), spec.derived, key)
+
+
+def _names(spec: Flat) -> list[str]:
+    return [*spec.aggs, *spec.medians]
+
+
+def _joined_parts(parts: list[DataFrame], key: str) -> DataFrame:
+    return parts[0] if len(parts) == 1 else join_wide(parts, "left", key)
 
 
 def flat_features(rows: DataFrame, spec: Flat, hot_rows: int = HOT_ROWS, key: str = "uid") -> DataFrame:
     """One row per user.
 
     Without medians this is a plain partial + final aggregate. With them, the narrow rows of ordinary
-    users go to their task once (less to move than per-task value maps), hot users take the other way.
+    users go to their task once (less to move than gathered values), hot users take the other way.
     """
     if not spec.medians:
         return flat_local(rows, spec, key)
@@ -162,24 +188,26 @@ def flat_features(rows: DataFrame, spec: Flat, hot_rows: int = HOT_ROWS, key: st
     return out if hot is None else out.unionByName(flat_hot(hot, spec, n_hot, key))
 
 
-def daily_features(rows: DataFrame, spec: Daily, key: str = "uid") -> DataFrame:
-    """Per user and day, then per user. A slice without rows on a day does not count as a day.
-
-    The number of days is bounded, so medians over days may stay inside the aggregation.
-    """
+def daily_part(rows: DataFrame, spec: Daily, key: str = "uid") -> DataFrame:
+    """The aggregates of a daily group, helpers included."""
     days = (
         rows.filter(f"{spec.day} is not null")
         .groupBy(key, spec.day)
         .agg(*[F.expr(f"{sql} as `{n}`") for n, sql in spec.measures.items()])
     )
-    return _finished(days.groupBy(key).agg(*_zero_filled(spec.aggs)), spec.aggs, spec.derived, key)
+    return days.groupBy(key).agg(*_zero_filled(spec.aggs))
 
 
-def keyed_features(rows: DataFrame, spec: Keyed, key: str = "uid") -> DataFrame:
-    """Per user and key, then per user. A missing key is one key, as in ``len(unique(x))``.
+def daily_features(rows: DataFrame, spec: Daily, key: str = "uid") -> DataFrame:
+    """Per user and day, then per user. A slice without rows on a day does not count as a day.
 
-    Several dimensions (number, prefix, ...) run in one pass; a hot user is split by key.
+    The number of days is bounded, so medians over days may stay inside the aggregation.
     """
+    return _finished(daily_part(rows, spec, key), spec.aggs, spec.derived, key)
+
+
+def keyed_part(rows: DataFrame, spec: Keyed, key: str = "uid") -> DataFrame:
+    """The aggregates of a keyed group, helpers included."""
     if len(spec.dims) == 1:
         ((dim, sql),) = spec.dims.items()
         keyed = rows.selectExpr("*", f"'{dim}' as dim", f"{sql} as key")
@@ -190,4 +218,25 @@ def keyed_features(rows: DataFrame, spec: Keyed, key: str = "uid") -> DataFrame:
         groups = keyed.groupBy(key, "dim", "key").agg(*[F.expr(f"{sql} as `{n}`") for n, sql in spec.counts.items()])
     else:
         groups = keyed.select(key, "dim", "key").distinct()
-    return _finished(groups.groupBy(key).agg(*_zero_filled(spec.aggs)), spec.aggs, spec.derived, key)
+    return groups.groupBy(key).agg(*_zero_filled(spec.aggs))
+
+
+def keyed_features(rows: DataFrame, spec: Keyed, key: str = "uid") -> DataFrame:
+    """Per user and key, then per user. A missing key is one key, as in ``len(unique(x))``.
+
+    Several dimensions (number, prefix, ...) run in one pass; a hot user is split by key.
+    """
+    return _finished(keyed_part(rows, spec, key), spec.aggs, spec.derived, key)
+
+
+def table_parts(
+    rows: DataFrame, flat: Flat, daily: Daily, keyed: Keyed, n_hot: int | None = None, key: str = "uid"
+) -> list[DataFrame]:
+    """All aggregations of a table. ``n_hot`` says that the rows are those of so many hot users."""
+    return [*_flat_parts(rows, flat, n_hot, key), daily_part(rows, daily, key), keyed_part(rows, keyed, key)]
+
+
+def finish_table(joined: DataFrame, flat: Flat, daily: Daily, keyed: Keyed, key: str = "uid") -> DataFrame:
+    """Drop the helpers of the joined parts and add what is derived."""
+    names = [c for c in joined.columns if c != key]
+    return _finished(joined, names, {**flat.derived, **daily.derived, **keyed.derived}, key)

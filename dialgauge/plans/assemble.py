@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.derive import with_call_fields, with_sms_fields, with_web_fields
 from ..operators.categories import Manifest
 from ..operators.skew import HOT_ROWS
+from ..operators.wide import join_wide
 from . import sms as sms_plan
 from . import voice as voice_plan
 from . import web as web_plan
@@ -17,7 +16,7 @@ from . import web as web_plan
 
 def domain_outer(*matrices: DataFrame, key: str = "uid") -> DataFrame:
     """Every user of any matrix, features missing on one side are 0."""
-    return reduce(lambda left, right: left.join(right, key, "full"), matrices).na.fill(0)
+    return join_wide(list(matrices), "full", key)
 
 
 def _users_with_features(users: DataFrame, matrices: tuple[DataFrame, ...], key: str) -> DataFrame:
@@ -25,8 +24,7 @@ def _users_with_features(users: DataFrame, matrices: tuple[DataFrame, ...], key:
 
     ``label`` (if users have one) stays as it is, features are filled with 0.
     """
-    joined = reduce(lambda left, right: left.join(right, key, "left"), matrices, users)
-    return joined.na.fill(0, [c for c in joined.columns if c not in (key, "label")])
+    return join_wide(list(matrices), "left", key, users)
 
 
 def train_matrix(labels: DataFrame, *matrices: DataFrame, key: str = "uid") -> DataFrame:

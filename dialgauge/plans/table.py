@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from ..operators.aggregate import Daily, Flat, Keyed, daily_features, flat_hot, flat_local, keyed_features
+from ..operators.aggregate import Daily, Flat, Keyed, finish_table, table_parts
 from ..operators.categories import Category, Manifest, category_counts, wide_counts
 from ..operators.skew import HOT_ROWS, split_hot
+from ..operators.wide import join_wide
 
 
 @dataclass(frozen=True)
@@ -23,13 +23,15 @@ class TableFeatures:
     slices: dict[str, str | None] = field(default_factory=dict)
 
 
-def _side_by_side(rows: DataFrame, flat: DataFrame, spec: TableFeatures, manifest: Manifest, key: str) -> DataFrame:
-    """Join the four shapes on the user. The flat one has every user, so left joins lose none."""
-    parts = [flat, daily_features(rows, spec.daily, key), keyed_features(rows, spec.keyed, key)]
+def _side_by_side(
+    rows: DataFrame, spec: TableFeatures, manifest: Manifest, n_hot: int | None, key: str
+) -> DataFrame:
+    """Join the aggregations on the user. The first has every user, so left joins lose none."""
+    parts = table_parts(rows, spec.flat, spec.daily, spec.keyed, n_hot, key)
     if any(manifest.get(dim) for dim in spec.categories):
         counts = category_counts(rows, spec.categories, spec.slices, key)
         parts.append(wide_counts(counts, spec.categories, manifest, key))
-    return reduce(lambda left, right: left.join(right, key, "left"), parts)
+    return finish_table(join_wide(parts, "left", key), spec.flat, spec.daily, spec.keyed, key)
 
 
 def table_matrix(
@@ -37,14 +39,11 @@ def table_matrix(
 ) -> DataFrame:
     """The wide table of one event kind.
 
-    Rows of ordinary users are hashed by user once per shape, with only the columns that shape reads;
+    Rows of ordinary users are hashed by user, once per aggregation, with only the columns it reads;
     everything after that (both levels of the two-level groups, the pivot, the joins) finds its data
     in place. This moves narrow rows instead of partial aggregates of several hundred columns.
     Hot users are not gathered: they take partial aggregates, which shrink them before the shuffle.
     """
     cold, hot, n_hot = split_hot(rows, hot_rows, key)
-    placed = cold.repartition(key)
-    out = _side_by_side(placed, flat_local(placed, spec.flat, key), spec, manifest, key)
-    if hot is not None:
-        out = out.unionByName(_side_by_side(hot, flat_hot(hot, spec.flat, n_hot, key), spec, manifest, key))
-    return out.na.fill(0)
+    out = _side_by_side(cold.repartition(key), spec, manifest, None, key)
+    return out if hot is None else out.unionByName(_side_by_side(hot, spec, manifest, n_hot, key))
