@@ -234,9 +234,3 @@ def table_parts(
 ) -> list[DataFrame]:
     """All aggregations of a table. ``n_hot`` says that the rows are those of so many hot users."""
     return [*_flat_parts(rows, flat, n_hot, key), daily_part(rows, daily, key), keyed_part(rows, keyed, key)]
-
-
-def finish_table(joined: DataFrame, flat: Flat, daily: Daily, keyed: Keyed, key: str = "uid") -> DataFrame:
-    """Drop the helpers of the joined parts and add what is derived."""
-    names = [c for c in joined.columns if c != key]
-    return _finished(joined, names, {**flat.derived, **daily.derived, **keyed.derived}, key)

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.derive import with_call_fields, with_sms_fields, with_web_fields
 from ..operators.categories import Manifest
 from ..operators.skew import HOT_ROWS
-from ..operators.wide import join_wide
+from ..operators.wide import join_all, join_wide
 from . import sms as sms_plan
 from . import voice as voice_plan
 from . import web as web_plan
+from .table import finished, packed_table
 
 
 def domain_outer(*matrices: DataFrame, key: str = "uid") -> DataFrame:
@@ -68,9 +69,19 @@ def full_feature_matrix(
     manifests: dict[str, Manifest],
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """M1: every user of ``users`` (uid, label; NULL label = to be scored) with all features."""
-    matrices = table_matrices(voice, sms, wa, manifests, hot_rows)
-    return _users_with_features(users.select("uid", "label"), matrices, "uid")
+    """M1: every user of ``users`` (uid, label; NULL label = to be scored) with all features.
+
+    As J2 / J3 over the three matrices, but the aggregations of all tables are joined to the users
+    first and laid out once.
+    """
+    tables = {
+        "voice": (with_call_fields(voice), *voice_plan.features_for(manifests["voice"])),
+        "sms": (with_sms_fields(sms), *sms_plan.features_for(manifests["sms"])),
+        "wa": (with_web_fields(wa), *web_plan.features_for(manifests["wa"])),
+    }
+    packed = [packed_table(*table, hot_rows, name=name) for name, table in tables.items()]
+    joined = join_all([users.select("uid", "label"), *packed], "left")
+    return finished(joined, *[spec for _, spec, _ in tables.values()])
 
 
 def split_known(matrix: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 
 from ..functions import derive as d
@@ -242,16 +244,19 @@ def home(sms: DataFrame) -> DataFrame:
     return flat_features(sms, HOME)
 
 
-def _features(extended: bool, hot_numbers: list[str]) -> TableFeatures:
+def features_for(manifest: Manifest, extended: bool = False) -> tuple[TableFeatures, Manifest]:
+    """Feature groups and columns; ``extended`` adds hours and the numbers of the hot list."""
     if not extended:
-        return FEATURES
+        return FEATURES, manifest
+    hot_numbers = manifest.get("hot", [])
     categories = {**CATEGORIES, "hour": HOUR}
     if hot_numbers:
         categories["hot"] = Category(
             f"case when smg_opp_num in ({quoted_list(hot_numbers)}) then smg_opp_num else 'other' end",
             {"all": "hot_msg_opp_num_{}_cnt"},
         )
-    return TableFeatures(FEATURES.flat + HOUR_CLASS, FEATURES.daily, FEATURES.keyed, categories, SLICES)
+        manifest = {**manifest, "hot": [*hot_numbers, "other"]}
+    return replace(FEATURES, flat=FEATURES.flat + HOUR_CLASS, categories=categories), manifest
 
 
 def feature_matrix(
@@ -267,11 +272,7 @@ def feature_matrix(
     ``extended`` adds hours and numbers inside the frequency band; ``truncate`` cuts to integers.
     """
     manifest = fit_sms_manifest(sms, extended, band) if manifest is None else manifest
-    hot_numbers = manifest.get("hot", []) if extended else []
-    spec = _features(extended, hot_numbers)
-    if hot_numbers:
-        manifest = {**manifest, "hot": [*hot_numbers, "other"]}
-    matrix = table_matrix(sms, spec, manifest, hot_rows)
+    matrix = table_matrix(sms, *features_for(manifest, extended), hot_rows)
     return d.truncate_features(matrix) if truncate else matrix
 
 

@@ -6,10 +6,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from ..operators.aggregate import Daily, Flat, Keyed, finish_table, table_parts
+from ..functions.text import named
+from ..operators.aggregate import Daily, Flat, Keyed, table_parts
 from ..operators.categories import Category, Manifest, category_counts, wide_counts
 from ..operators.skew import HOT_ROWS, split_hot
-from ..operators.wide import join_wide
+from ..operators.wide import join_all, lay_out, pack
 
 
 @dataclass(frozen=True)
@@ -22,22 +23,31 @@ class TableFeatures:
     categories: dict[str, Category] = field(default_factory=dict)
     slices: dict[str, str | None] = field(default_factory=dict)
 
+    @property
+    def derived(self) -> dict[str, str]:
+        return {**self.flat.derived, **self.daily.derived, **self.keyed.derived}
 
-def _side_by_side(
-    rows: DataFrame, spec: TableFeatures, manifest: Manifest, n_hot: int | None, key: str
+
+def _packed_parts(
+    rows: DataFrame, spec: TableFeatures, manifest: Manifest, n_hot: int | None, key: str, name: str
 ) -> DataFrame:
     """Join the aggregations on the user. The first has every user, so left joins lose none."""
     parts = table_parts(rows, spec.flat, spec.daily, spec.keyed, n_hot, key)
     if any(manifest.get(dim) for dim in spec.categories):
         counts = category_counts(rows, spec.categories, spec.slices, key)
         parts.append(wide_counts(counts, spec.categories, manifest, key))
-    return finish_table(join_wide(parts, "left", key), spec.flat, spec.daily, spec.keyed, key)
+    return join_all([pack(part, f"{name}{i}", key) for i, part in enumerate(parts)], "left", key)
 
 
-def table_matrix(
-    rows: DataFrame, spec: TableFeatures, manifest: Manifest, hot_rows: int = HOT_ROWS, key: str = "uid"
+def packed_table(
+    rows: DataFrame,
+    spec: TableFeatures,
+    manifest: Manifest,
+    hot_rows: int = HOT_ROWS,
+    key: str = "uid",
+    name: str = "part",
 ) -> DataFrame:
-    """The wide table of one event kind.
+    """One event kind's aggregations as struct columns, one row per user.
 
     Rows of ordinary users are hashed by user, once per aggregation, with only the columns it reads;
     everything after that (both levels of the two-level groups, the pivot, the joins) finds its data
@@ -45,5 +55,23 @@ def table_matrix(
     Hot users are not gathered: they take partial aggregates, which shrink them before the shuffle.
     """
     cold, hot, n_hot = split_hot(rows, hot_rows, key)
-    out = _side_by_side(cold.repartition(key), spec, manifest, None, key)
-    return out if hot is None else out.unionByName(_side_by_side(hot, spec, manifest, n_hot, key))
+    out = _packed_parts(cold.repartition(key), spec, manifest, None, key, name)
+    return out if hot is None else out.unionByName(_packed_parts(hot, spec, manifest, n_hot, key, name))
+
+
+def finished(packed: DataFrame, *specs: TableFeatures) -> DataFrame:
+    """Lay out the structs, drop the helpers, add what is derived.
+
+    Users without rows have 0 in every aggregate, and every derived text gives 0 for that.
+    """
+    wide = lay_out(packed)
+    kept = [named(c) for c in wide.columns if not c.startswith("_")]
+    derived = [f"{sql} as {named(n)}" for spec in specs for n, sql in spec.derived.items()]
+    return wide.selectExpr(*kept, *derived)
+
+
+def table_matrix(
+    rows: DataFrame, spec: TableFeatures, manifest: Manifest, hot_rows: int = HOT_ROWS, key: str = "uid"
+) -> DataFrame:
+    """The wide table of one event kind, missing = 0."""
+    return finished(packed_table(rows, spec, manifest, hot_rows, key), spec)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 
 from ..functions import derive as d
@@ -39,7 +41,11 @@ def _both_ways(stat: str, name: str) -> Flat:
 
 IN_OUT = Flat(  # V1
     aggs={"tel_in": f"count_if({IN})", "tel_out": f"count_if({OUT})"},
-    derived={"tel_fre": "tel_in + tel_out", "tel_in_out_ratio": "(tel_out + 1) / (tel_in + 1)"},
+    derived={
+        "tel_fre": "tel_in + tel_out",
+        # Derived features of a user without calls are 0, this one too.
+        "tel_in_out_ratio": "if(tel_in + tel_out > 0, (tel_out + 1) / (tel_in + 1), 0)",
+    },
 )
 LEN_MEAN = _both_ways("mean", "mean")  # V3
 LEN_SUM = _both_ways("sum", "sum")  # V4
@@ -231,14 +237,16 @@ def operator_counts(voice: DataFrame) -> DataFrame:
     return flat_features(voice, OPERATOR_COUNT)
 
 
-def _features(hot_numbers: list[str]) -> TableFeatures:
-    """With a hot list, one column per listed number and one for all the others."""
+def features_for(manifest: Manifest, extended: bool = False) -> tuple[TableFeatures, Manifest]:
+    """Feature groups and columns. With a hot list, one column per listed number and one for all the others."""
+    hot_numbers = manifest.get("hot", []) if extended else []
     if not hot_numbers:
-        return FEATURES
+        return FEATURES, manifest
     hot = Category(
-        f"case when tel_opp_num in ({quoted_list(hot_numbers)}) then tel_opp_num else 'other' end", {"all": "hot_tel_opp_num_{}_cnt"}
+        f"case when tel_opp_num in ({quoted_list(hot_numbers)}) then tel_opp_num else 'other' end",
+        {"all": "hot_tel_opp_num_{}_cnt"},
     )
-    return TableFeatures(FEATURES.flat, FEATURES.daily, FEATURES.keyed, {**CATEGORIES, "hot": hot}, SLICES)
+    return replace(FEATURES, categories={**CATEGORIES, "hot": hot}), {**manifest, "hot": [*hot_numbers, "other"]}
 
 
 def feature_matrix(
@@ -253,11 +261,7 @@ def feature_matrix(
     ``extended`` adds the frequent numbers (``manifest["hot"]``, or numbers above ``more_than`` calls).
     """
     manifest = fit_voice_manifest(voice, extended, more_than) if manifest is None else manifest
-    hot_numbers = manifest.get("hot", []) if extended else []
-    spec = _features(hot_numbers)
-    if hot_numbers:
-        manifest = {**manifest, "hot": [*hot_numbers, "other"]}
-    return table_matrix(voice, spec, manifest, hot_rows)
+    return table_matrix(voice, *features_for(manifest, extended), hot_rows)
 
 
 def fit_voice_manifest(voice: DataFrame, extended: bool = False, more_than: int = HOT_CALLS) -> Manifest:

@@ -259,11 +259,12 @@ def _listed_name(names: list[str], column: str) -> Category:
     return Category(f"case when wa_name in ({quoted_list(names)}) then wa_name end", {"all": column})
 
 
-def feature_matrix(wa: DataFrame, manifest: Manifest, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Every web and app feature, one row per user. ``manifest`` as of ``fit_web_manifest``.
-
-    Only rows of listed names take part in the name counts; the others stop at the scan.
-    """
+def features_for(manifest: Manifest) -> tuple[TableFeatures, Manifest]:
+    """Feature groups and columns. Only rows of listed names take part in the name counts."""
     categories = {dim: _listed_name(manifest[dim], c) for dim, c in NAME_COLUMNS.items() if manifest.get(dim)}
-    spec = replace(FEATURES, categories=categories)
-    return table_matrix(wa, spec, manifest, hot_rows)
+    return replace(FEATURES, categories=categories), manifest
+
+
+def feature_matrix(wa: DataFrame, manifest: Manifest, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Every web and app feature, one row per user. ``manifest`` as of ``fit_web_manifest``."""
+    return table_matrix(wa, *features_for(manifest), hot_rows)
