@@ -14,7 +14,7 @@ def test_two_rounds(spark, small):
         sources.write_tab_text(df, path)
         return path
 
-    # Users u0000..u0019 of the stand-ins; the roster file names are those of generated ids.
+    # The stand-in users, renamed to the ids that the generated roster has.
     voice, sms, wa = (f(spark, small) for f in (fx.voice, fx.sms, fx.web))
     renamed = [df.selectExpr("concat('u', cast(substr(uid, 2) as int) + 5000) as uid", *df.columns[1:]) for df in (voice, sms, wa)]
     users = fx.roster(spark, small).selectExpr("concat('u', cast(substr(uid, 2) as int) + 5000) as uid", "label")
