@@ -3,9 +3,10 @@
 import pytest
 from compare import connect, difference
 
-import __spark_entry__ as driver
+from dialgauge.catalog.oracle import oracle_texts
+from dialgauge.catalog.queries import QUERIES
 
-QUERIES, ORACLE = driver.queries(), driver.oracle_sql()
+ORACLE = oracle_texts()
 
 
 @pytest.fixture(scope="module")
