@@ -44,6 +44,8 @@ STEPS = 2000
 # the spread of single letters' share, for corpora without such words.
 ORDINARY = "^[A-Za-z]?[a-z]+$|^[A-Z]+$"
 USUAL_MEAN, USUAL_SPREAD = 0.066, 0.01
+# Words with a higher rate are fillers ("xxxx", "ababab") and no measure of ordinary text.
+FILLER = 0.25
 
 
 def _encoding(token: Column) -> Column:
@@ -80,11 +82,11 @@ def equal_pairs(codes: Column) -> Column:
         F.sort_array(codes),
         lambda s: F.aggregate(
             F.sequence(F.lit(0), F.size(s) - 1),
-            F.struct(F.lit(0).alias("run"), F.lit(0).alias("pairs")),
+            F.struct(F.lit(0).cast("long").alias("run"), F.lit(0).cast("long").alias("pairs")),
             lambda acc, k: F.when(
                 (k > 0) & (F.get(s, k) == F.get(s, F.greatest(k - 1, F.lit(0)))),
                 F.struct((acc["run"] + 1).alias("run"), (acc["pairs"] + 2 * acc["run"]).alias("pairs")),
-            ).otherwise(F.struct(F.lit(1).alias("run"), acc["pairs"].alias("pairs"))),
+            ).otherwise(F.struct(F.lit(1).cast("long").alias("run"), acc["pairs"].alias("pairs"))),
             lambda acc: acc["pairs"],
         ),
     )
@@ -140,7 +142,7 @@ def _features(token: Column) -> list[Column]:
     )
     return [
         ordinary.alias("ordinary"),
-        F.length(token).alias("n"),
+        F.length(token).cast("long").alias("n"),
         equal_pairs(codes).alias("pairs"),
         F.when(ordinary, False).otherwise(passed).alias("random"),
     ]
@@ -160,7 +162,7 @@ def fitted(tokens: DataFrame) -> DataFrame:
     """
     rate = F.col("pairs") / (F.col("n") * (F.col("n") - 1))
     whole = lambda c: F.sum(F.round(c * 1e9).cast("long") * F.col("tokens")) / 1e9
-    usual = tokens.where("ordinary").agg(
+    usual = tokens.where(F.col("ordinary") & (rate <= FILLER)).agg(
         (F.sum(F.col("pairs") * F.col("tokens")) / F.sum(F.col("n") * (F.col("n") - 1) * F.col("tokens"))).alias("mean"),
         whole(rate * rate * F.col("n")).alias("second"),
         whole(rate * F.col("n")).alias("first"),

@@ -1,0 +1,91 @@
+"""Benchmark copies: planted ones are found, the distance is Levenshtein's, clean documents stay."""
+
+import random
+
+import pytest
+
+from dialgauge.llm import decontam
+
+
+def plain_nearest(pattern, text):
+    """The least edit distance of ``pattern`` to any substring of ``text``, and where the first such ends."""
+    row = list(range(len(pattern) + 1))
+    best = (row[-1], 0)
+    for end, c in enumerate(text, 1):
+        new = [0]
+        for k, p in enumerate(pattern, 1):
+            new.append(min(row[k] + 1, new[k - 1] + 1, row[k - 1] + (p != c)))
+        row = new
+        if row[-1] < best[0]:
+            best = (row[-1], end)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_nearest(seed):
+    rng = random.Random(seed)
+    text = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 80)))
+    pattern = "".join(rng.choice("abc ") for _ in range(rng.randint(1, 20)))
+    assert decontam.nearest(pattern, text) == plain_nearest(pattern, text)
+
+
+def sentence(rng, n):
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(n))
+
+
+def edited(rng, text, k):
+    chars = list(text)
+    for at in rng.sample(range(len(chars)), k):
+        chars[at] = rng.choice(["", "x", chars[at] + "y"])
+    return "".join(chars)
+
+
+@pytest.fixture(scope="module")
+def planted(spark, make_docs):
+    rng = random.Random(11)
+    items = [sentence(rng, rng.randint(15, 70)) for _ in range(12)]
+    benchmark = spark.createDataFrame(
+        [(k, t, "extra") for k, t in enumerate(items)] + [(90, None, ""), (91, "", ""), (92, "the of", ""), (93, items[0], "")],
+        "item_id long, text string, distance string",
+    )
+    texts, leaks = [], {}
+    for k, item in enumerate(items):
+        before, after = sentence(rng, 60), sentence(rng, 60)
+        passage = decontam.passages(item)[0]
+        for part in (item, item.upper(), item.replace(" ", ",\n", 5), edited(rng, passage, decontam.budget(len(passage)))):
+            leaks[len(texts)] = k
+            texts.append(f"{before} {part} {after}")
+        texts.append(sentence(rng, 300))
+    return make_docs(texts), benchmark, leaks
+
+
+def test_planted(planted):
+    docs, benchmark, leaks = planted
+    rows = decontam.contaminated(docs, benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == set(leaks.items())
+    for r in rows:
+        assert r["found"] == r["passages"] or r["doc_id"] % 5 == 3
+        assert r["distance"] == 0 or r["doc_id"] % 5 == 3
+
+
+def test_passes_give_the_same(planted):
+    docs, benchmark, _ = planted
+    key = lambda r: (r["doc_id"], r["item_id"])
+    once = sorted(decontam.contaminated(docs, benchmark).collect(), key=key)
+    assert once == sorted(decontam.contaminated(docs, benchmark, pass_chars=500).collect(), key=key)
+
+
+def test_awkward(spark, awkward, no_docs, planted):
+    _, benchmark, _ = planted
+    assert decontam.contaminated(awkward, benchmark).count() == 0
+    assert decontam.contaminated(no_docs, benchmark).count() == 0
+    assert decontam.contaminated(awkward, benchmark.limit(0)).count() == 0
+
+
+def test_whole_table_against_substring_search(spark, small):
+    docs, benchmark = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark"))
+    body = lambda rows, i: {r[i]: r["body"] for r in rows.select(i, decontam.normalised(rows["text"]).alias("body")).collect()}
+    texts, items = body(docs, "doc_id"), body(benchmark, "item_id")
+    exact = {(d, i) for d, t in texts.items() for i, item in items.items() if item in t}
+    found = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(docs, benchmark).collect()}
+    assert exact and exact <= found and len(found - exact) <= 2
