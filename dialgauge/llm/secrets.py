@@ -93,30 +93,32 @@ def equal_pairs(codes: Column) -> Column:
 
 
 def battery(codes: Column, size: Column) -> Column:
-    """Normal scores (chi_squared, runs, serial) of a token's codes; each is about 0 for random codes."""
+    """Normal scores (chi_squared, runs, serial) of a token's codes; each is about 0 for random codes.
+
+    ``codes`` and ``size`` are read many times: pass them through :func:`let`.
+    """
     n = F.size(codes).cast("double")
     # Chi-squared over the alphabet is size / n * sum of squared counts - n, and that sum is n + equal pairs.
     chi = size / n * (n + equal_pairs(codes)) - n
-    high = F.transform(codes, lambda c: (c >= size / 2).cast("double"))
     steps = F.sequence(F.lit(1), F.size(codes) - 1)
 
-    def runs(h: Column) -> Column:
-        up = _sum(h)
-        changes = _sum(F.transform(steps, lambda k: F.abs(h[k] - h[k - 1])))
+    def runs(high: Column) -> Column:
+        up = _sum(high)
+        changes = _sum(F.transform(steps, lambda k: F.abs(high[k] - high[k - 1])))
         mean = 2 * up * (n - up) / n
         spread = F.sqrt(F.greatest(mean * (mean - 1) / (n - 1), F.lit(0.25)))
         return (changes - mean) / spread
 
-    def serial(c: Column) -> Column:
-        mean = _sum(c) / n
-        own = _sum(F.transform(c, lambda x: (x - mean) * (x - mean)))
-        lagged = _sum(F.transform(steps, lambda k: (c[k] - mean) * (c[k - 1] - mean)))
+    def serial(off: Column) -> Column:
+        own = _sum(F.transform(off, lambda x: x * x))
+        lagged = _sum(F.transform(steps, lambda k: off[k] * off[k - 1]))
         return F.when(own > 0, lagged / own * F.sqrt(n)).otherwise(F.sqrt(n))
 
+    off = let(_sum(F.transform(codes, lambda c: c.cast("double"))) / n, lambda mean: F.transform(codes, lambda c: c - mean))
     return F.struct(
         ((chi - (size - 1)) / F.sqrt(2.0 * (size - 1))).alias("chi_squared"),
-        let(high, runs).alias("runs"),
-        let(F.transform(codes, lambda c: c.cast("double")), serial).alias("serial"),
+        let(F.transform(codes, lambda c: (c >= size / 2).cast("double")), runs).alias("runs"),
+        let(off, serial).alias("serial"),
     )
 
 
@@ -128,24 +130,30 @@ def normal_tail(z: Column) -> Column:
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """Token counts of the whole corpus by (ordinary, n, pairs, random): ordinary tokens are words, random ones pass."""
     tokens = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))).alias("token"))
-    rows = tokens.select(*_features(F.col("token")))
+    rows = tokens.select(_features(F.col("token")).alias("f")).select("f.*")
     return rows.groupBy("ordinary", "n", "pairs", "random").agg(F.count("*").alias("tokens"))
 
 
-def _features(token: Column) -> list[Column]:
-    encoding = _encoding(token)
-    codes, size = _codes(token, encoding), _size(encoding)
-    ordinary = token.rlike(ORDINARY)
-    passed = let(
-        battery(codes, size),
-        lambda z: (F.abs(z["chi_squared"]) <= BOUND) & (F.abs(z["runs"]) <= BOUND) & (F.abs(z["serial"]) <= BOUND),
-    )
-    return [
-        ordinary.alias("ordinary"),
-        F.length(token).cast("long").alias("n"),
-        equal_pairs(codes).alias("pairs"),
-        F.when(ordinary, False).otherwise(passed).alias("random"),
-    ]
+def _features(token: Column) -> Column:
+    """Struct (ordinary, n, pairs, random) of a token."""
+
+    def passed(codes: Column, size: Column) -> Column:
+        return let(
+            battery(codes, size),
+            lambda z: (F.abs(z["chi_squared"]) <= BOUND) & (F.abs(z["runs"]) <= BOUND) & (F.abs(z["serial"]) <= BOUND),
+        )
+
+    def measure(codes: Column) -> Column:
+        ordinary = token.rlike(ORDINARY)
+        random = F.when(ordinary, False).otherwise(let(_size(_encoding(token)), lambda size: passed(codes, size)))
+        return F.struct(
+            ordinary.alias("ordinary"),
+            F.length(token).cast("long").alias("n"),
+            equal_pairs(codes).alias("pairs"),
+            random.alias("random"),
+        )
+
+    return let(_codes(token, _encoding(token)), measure)
 
 
 def _step(n: Column, pairs: Column, mean: Column, spread: Column) -> Column:
@@ -218,8 +226,8 @@ def find_secrets(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     )
 
     def reported(span: Column) -> Column:
-        ordinary, n, pairs, random = _features(span["value"])
-        return random & (_step(n, pairs, F.col("mean"), F.col("spread")) >= F.col("least_step"))
+        step = lambda f: _step(f["n"], f["pairs"], F.col("mean"), F.col("spread"))
+        return let(_features(span["value"]), lambda f: f["random"] & (step(f) >= F.col("least_step")))
 
     found = F.filter("tokens", lambda s: F.coalesce(reported(s), F.lit(False)))
     return rows.select(id_col, F.concat("base", found).cast(NONE).alias("spans"))
