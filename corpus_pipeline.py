@@ -15,7 +15,11 @@ from dialgauge.llm.common import table, written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or the log-likelihood ratio reject go."""
-    return quality.judged(docs, table(spark, sf_dir, "labels")).where("kept").select("row.*")
+    rows = quality.judged(docs, table(spark, sf_dir, "labels"))
+    # The row's number keeps the filter above the projections; pushed below them, it would copy their long expressions
+    # into itself, several times each.
+    rows = rows.withColumn("number", F.monotonically_increasing_id())
+    return rows.where("kept and number >= 0").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
