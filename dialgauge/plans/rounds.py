@@ -40,7 +40,9 @@ def round_matrix(spark: SparkSession, inputs: RoundInputs, **name_thresholds) ->
     if inputs.predictions:
         labels = sources.union_pseudo_labels(labels, sources.read_predictions(spark, inputs.predictions))
     roster = sources.test_roster(spark, inputs.roster_start, inputs.roster_size)
-    manifests = assemble.fit_manifests(voice, sms, wa, labels, **name_thresholds)
+    # Names are picked by the labels of the rows that trees grow on, not of those that stop them.
+    grown_on = labels.filter(~models.in_holdout(seed=models.STOPPING_SEED)).select("uid")
+    manifests = assemble.fit_manifests(voice, sms, wa, labels, **{"fit_users": grown_on, **name_thresholds})
     users = labels.unionByName(roster.join(labels, "uid", "left_anti"), allowMissingColumns=True)
     path = scratch_path(spark, "round")
     assemble.full_feature_matrix(voice, sms, wa, users, manifests).write.parquet(path)

@@ -31,13 +31,17 @@ def build_session(app: str = "dialgauge", master: str | None = None, **conf: str
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a fresh local folder is taken, and the session
-    is told about it so that every later call uses the same one.
+    Only where the session names none and runs in one process (local tests) a fresh local folder is taken, and
+    the session is told about it so that every later call uses the same one. On a cluster the executors could not
+    see such a folder, so a session without a shared one is refused.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"master {master}: set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="run-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root

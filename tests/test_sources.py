@@ -67,3 +67,14 @@ def test_rounds_keep_duplicates(spark):
 def test_scratch_is_the_sessions(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+def test_no_local_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    import pytest
+
+    conf = SimpleNamespace(get=lambda key, default=None: None)
+    context = SimpleNamespace(getConf=lambda: conf, master="spark://somewhere:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(SimpleNamespace(conf=conf, sparkContext=context))
