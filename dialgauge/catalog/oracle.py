@@ -637,6 +637,35 @@ def _class_case(conditions):
     return "case " + " ".join(f"when {c} then '{n}'" for n, c in conditions.items()) + " end"
 
 
+# One-hot values picked from the data: (source, dim) -> view, value, condition, slices.
+_ONE_HOT = {
+    ("voice", "type"): ("v", "tel_call_type", "true", WAYS),
+    ("voice", "day"): ("v", "dt", "true", WAYS),
+    ("voice", "head"): ("v", "tel_opp_head", "true", WAYS),
+    ("voice", "len"): ("v", "tel_opp_len", "true", WAYS),
+    ("voice", "short"): ("v", "tel_opp_num", "tel_opp_len <= 5", {"all": "true"}),
+    ("sms", "day"): ("s", "dt", "true", WAYS),
+    ("sms", "head"): ("s", "smg_opp_head", "true", WAYS),
+    ("sms", "len"): ("s", "smg_opp_len", "true", WAYS),
+    ("sms", "short"): ("s", "smg_opp_num", "smg_opp_len <= 7", {"all": "true"}),
+    ("wa", "bad"): ("wa", "wa_name", f"wa_name in (select wa_name from ({_SKEWED}))", {"all": "true"}),
+    ("wa", "hot"): (
+        "wa",
+        "wa_name",
+        f"wa_name in (select wa_name from wa group by wa_name having count(*) > {fx.WEB_HOT})",
+        {"all": "true"},
+    ),
+}
+_PICKED = " union all ".join(
+    f"select distinct '{source}' as source, '{dim}' as dim, cast({value} as varchar) as key from {view} "
+    f"where {value} is not null and {where}"
+    for (source, dim), (view, value, where, _) in _ONE_HOT.items()
+)
+_CELLS = "select c.* from (" + " union all ".join(
+    f"select '{source}' as source, '{dim}' as dim, uid, slice, key, n from ({_long(view, value, 'key', slices, where)})"
+    for (source, dim), (view, value, where, slices) in _ONE_HOT.items()
+) + ") c semi join picked using (source, dim, key)"
+
 ROWS = {
     "read_voice": _with("select * from voice", "voice"),
     "read_sms": _with("select * from sms", "sms"),
@@ -655,15 +684,25 @@ ROWS = {
     "call_duration": _with("select uid, tel_start_time, tel_end_time, len as tel_len from v", "v"),
     "call_day_hour": _with("select uid, tel_start_time, dt as tel_date, hr as tel_hour from v", "v"),
     "sms_day_hour": _with("select uid, smg_start_time, dt as smg_date, hr as smg_hour from s", "s"),
-    "day_bag": _with("select uid, wa_date, (wa_date - 1) // 5 as bag from wa where (wa_date - 1) // 5 < 9", "wa"),
+    "day_bag": _with(
+        """select source, uid, day, (day - 1) // 5 as bag from (select 'voice' as source, uid, dt as day from v
+        union all select 'sms', uid, dt from s union all select 'wa', uid, wa_date from wa) where (day - 1) // 5 < 9""",
+        "v",
+        "s",
+        "wa",
+    ),
     "number_length_class": _with(
-        f"select uid, smg_opp_len, {_class_case(_lengths('smg_opp_len'))} as cls from sms", "sms"
+        f"""select source, uid, opp_len, {_class_case(_lengths('opp_len'))} as cls from (select 'voice' as source, uid,
+        tel_opp_len as opp_len from voice union all select 'sms', uid, smg_opp_len from sms)""",
+        "voice",
+        "sms",
     ),
     "hour_class": _with(
-        "select uid, hr as tel_hour, "
+        "select source, uid, hr as hour, "
         + ", ".join(f"cast(({h}) as int) as class_{k}" for k, h in enumerate(HOURS))
-        + " from v",
+        + " from (select 'voice' as source, uid, hr from v union all select 'sms', uid, hr from s)",
         "v",
+        "s",
     ),
     "call_length_class": _with(
         """select uid, len as tel_len, case when len <= 120 then 'short' when len <= 600 then 'mid' else 'long' end
@@ -686,13 +725,20 @@ ROWS = {
         round(dl, @D) as download_speed, round(ul, @D) as upload_speed, round(dl + ul, @D) as amount_speed from w""",
         "w",
     ),
-    "slice_rows": _with("select * from voice where tel_in_and_out = 1", "voice"),
+    "slice_rows": _with(
+        """select * from (select 'voice' as source, uid, tel_in_and_out as slice, tel_opp_num as name,
+            cast(tel_start_time as bigint) as moment from voice
+        union all select 'sms', uid, smg_in_and_out, smg_opp_num, cast(smg_start_time as bigint) from sms
+        union all select 'wa', uid, wa_type, wa_name, cast(wa_date as bigint) from wa) where slice in (0, 1)""",
+        "voice",
+        "sms",
+        "wa",
+    ),
     "truncate_features": _with(
-        "select uid, cast(trunc(columns(* exclude (uid))) as bigint) from ("
-        + S["sms_daily_count_stats"].replace("@D", "12")
-        + ")",
-        "s",
+        f"select uid, cast(trunc(columns(* exclude (uid))) as bigint) from ({SMS_MATRIX.replace('@D', '12')})", "s"
     ),
+    "feature_manifest": _with("select * from picked", "v", "s", "wa", "known", extra={"picked": _PICKED}),
+    "feature_cells": _with(_CELLS, "v", "s", "wa", "known", extra={"picked": _PICKED}),
     "domain_outer": _with(
         _filled("select * from vm full join sm using (uid) full join wm using (uid)", "uid"),
         "v",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,6 +111,14 @@ def _union_pseudo_labels(spark, sf):
     return sources.union_pseudo_labels(fx.roster(spark, sf), _labelled(spark, sf))
 
 
+def _by_source(tables):
+    """Rows of several tables with their ``source``; a key is the source, or starts with it."""
+    named_rows = [
+        rows.withColumn("source", F.lit(key if isinstance(key, str) else key[0])) for key, rows in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, named_rows)
+
+
 # ---- rows --------------------------------------------------------------------------------------
 
 
@@ -126,19 +135,29 @@ def _sms_day_hour(spark, sf):
 
 
 def _day_bag(spark, sf):
-    rows = fx.web(spark, sf).select("uid", "wa_date", F.expr(d.day_bag("wa_date")).alias("bag"))
-    return rows.filter("bag is not null")
+    days = {
+        "voice": calls(spark, sf).select("uid", F.col("tel_date").alias("day")),
+        "sms": texts(spark, sf).select("uid", F.col("smg_date").alias("day")),
+        "wa": fx.web(spark, sf).select("uid", F.col("wa_date").alias("day")),
+    }
+    return _by_source(days).withColumn("bag", F.expr(d.day_bag("day"))).filter("bag is not null")
 
 
 def _number_length_class(spark, sf):
-    return texts(spark, sf).select("uid", "smg_opp_len", F.expr(d.number_length_class("smg_opp_len")).alias("cls"))
+    numbers = {
+        "voice": fx.voice(spark, sf).select("uid", F.col("tel_opp_len").alias("opp_len")),
+        "sms": fx.sms(spark, sf).select("uid", F.col("smg_opp_len").alias("opp_len")),
+    }
+    return _by_source(numbers).withColumn("cls", F.expr(d.number_length_class("opp_len")))
 
 
 def _hour_class(spark, sf):
-    classes = d.hour_class_conditions("tel_hour")
-    return calls(spark, sf).select(
-        "uid", "tel_hour", *[F.expr(c).cast("int").alias(f"class_{k}") for k, c in enumerate(classes)]
-    )
+    hours = {
+        "voice": calls(spark, sf).select("uid", F.col("tel_hour").alias("hour")),
+        "sms": texts(spark, sf).select("uid", F.col("smg_hour").alias("hour")),
+    }
+    classes = d.hour_class_conditions("hour")
+    return _by_source(hours).select("*", *[F.expr(c).cast("int").alias(f"class_{k}") for k, c in enumerate(classes)])
 
 
 def _call_length_class(spark, sf):
@@ -164,11 +183,26 @@ def _wa_rates(spark, sf):
 
 
 def _slice_rows(spark, sf):
-    return d.slice_rows(fx.voice(spark, sf), "tel_in_and_out", 1)
+    """Both slices of every event table: what each table's rows have in common."""
+    tables = {
+        "voice": (fx.voice(spark, sf), "tel_in_and_out", "tel_opp_num", "tel_start_time"),
+        "sms": (fx.sms(spark, sf), "smg_in_and_out", "smg_opp_num", "smg_start_time"),
+        "wa": (fx.web(spark, sf), "wa_type", "wa_name", "wa_date"),
+    }
+    return _by_source(
+        {
+            (source, value): d.slice_rows(rows, column, value).selectExpr(
+                "uid", f"{value} as slice", f"{name} as name", f"cast({moment} as bigint) as moment"
+            )
+            for source, (rows, column, name, moment) in tables.items()
+            for value in (1, 0)
+        }
+    )
 
 
 def _truncate_features(spark, sf):
-    return d.truncate_features(sms_plan.daily_count_stats(texts(spark, sf)))
+    """The integer SMS matrix."""
+    return sms_plan.feature_matrix(texts(spark, sf), fx.MANIFESTS["sms"], truncate=True)
 
 
 # ---- joins -------------------------------------------------------------------------------------
@@ -218,6 +252,18 @@ def _skewed_name_counts(spark, sf):
     return web_plan.skewed_name_counts(rows, names)
 
 
+def _feature_manifest(spark, sf):
+    return assemble.feature_values(
+        fx.voice(spark, sf), fx.sms(spark, sf), fx.web(spark, sf), labels(spark, sf), fx.MIN_BAD, fx.MAX_GOOD, fx.WEB_HOT
+    )
+
+
+def _feature_cells(spark, sf):
+    """The one-hot part of M1 with values fitted on the data."""
+    values = _feature_manifest(spark, sf)
+    return assemble.feature_cells(fx.voice(spark, sf), fx.sms(spark, sf), fx.web(spark, sf), values)
+
+
 # ---- models ------------------------------------------------------------------------------------
 
 # Small settings for the registered queries; the full ones are the defaults of the functions.
@@ -367,6 +413,8 @@ QUERIES: dict[str, Query] = {
     "wa_feature_matrix": _on(accesses, lambda rows: web_plan.feature_matrix(rows, fx.MANIFESTS["wa"]), WIDE_DIGITS),
     # modelling and scoring
     "full_feature_matrix": _full_feature_matrix,
+    "feature_manifest": _feature_manifest,
+    "feature_cells": _feature_cells,
     "holdout_split": _holdout_split,
     "gbt_deep_ensemble": _deep,
     "gbt_shallow_ensemble": _shallow,

@@ -1,53 +1 @@
-from .derive import (
-    BAG_COUNT,
-    BAG_DAYS,
-    DIANXIN,
-    FOREIGN,
-    LIANTONG,
-    YIDONG,
-    bag_condition,
-    call_length_conditions,
-    call_seconds,
-    call_length_class,
-    day_bag,
-    day_of,
-    duration_decade,
-    hour_class_conditions,
-    hour_of,
-    number_length_class,
-    number_length_conditions,
-    operator_class,
-    seconds_of,
-    slice_rows,
-    truncate_features,
-    with_call_fields,
-    with_sms_fields,
-    with_web_fields,
-)
-
-__all__ = [
-    "BAG_COUNT",
-    "BAG_DAYS",
-    "DIANXIN",
-    "FOREIGN",
-    "LIANTONG",
-    "YIDONG",
-    "bag_condition",
-    "call_length_conditions",
-    "call_seconds",
-    "call_length_class",
-    "day_bag",
-    "day_of",
-    "duration_decade",
-    "hour_class_conditions",
-    "hour_of",
-    "number_length_class",
-    "number_length_conditions",
-    "operator_class",
-    "seconds_of",
-    "slice_rows",
-    "truncate_features",
-    "with_call_fields",
-    "with_sms_fields",
-    "with_web_fields",
-]
+"""Row functions: packed times, classes, operators, rates."""

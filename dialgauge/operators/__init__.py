@@ -1,9 +1,8 @@
 from .aggregate import Daily, Flat, Keyed, daily_features, flat_features, keyed_features, slice_stats
-from .categories import Category, category_counts, fit_manifest, long_counts, wide_counts
+from .categories import Category, category_counts, category_values, fit_manifest, listed_cells, long_counts, wide_counts
 from .frequent import (
     hot_value_counts,
     hot_value_split,
-    join_value_list,
     label_skewed_values,
     listed_value_counts,
     values_in_band,
@@ -20,11 +19,12 @@ __all__ = [
     "keyed_features",
     "slice_stats",
     "category_counts",
+    "category_values",
     "long_counts",
     "wide_counts",
     "fit_manifest",
+    "listed_cells",
     "values_in_band",
-    "join_value_list",
     "hot_value_split",
     "hot_value_counts",
     "listed_value_counts",

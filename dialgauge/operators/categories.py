@@ -59,6 +59,34 @@ def long_counts(counts: DataFrame, slices, value: str, key: str = "uid") -> Data
     ).filter("n > 0").select(key, "slice", value, "n")
 
 
+def category_values(rows: DataFrame, categories: dict[str, Category]) -> DataFrame:
+    """(dim, key, rows): the observed values of every category, however many there are."""
+    return _keyed_rows(rows, categories).groupBy("dim", "key").agg(F.count("*").alias("rows"))
+
+
+def listed_cells(
+    rows: DataFrame,
+    categories: dict[str, Category],
+    slices: dict[str, str | None],
+    values: DataFrame,
+    key: str = "uid",
+) -> DataFrame:
+    """(uid, dim, key, slice, n) above zero, for the values (dim, key) of a list and the slices a category has.
+
+    The one-hot features in long form: nothing is fetched and no column is made per value, so the list has no limit. Rows
+    are added up per (user, value) before they meet it.
+    """
+    counts = category_counts(rows, categories, slices, key).join(values.select("dim", "key"), ["dim", "key"], "left_semi")
+    entries = ", ".join(f"'{s}', `{s}`" for s in slices)
+    wanted = " or ".join(
+        f"dim = '{dim}' and slice in ({', '.join(repr(s) for s in category.columns)})"
+        for dim, category in categories.items()
+    )
+    return counts.selectExpr(key, "dim", "key", f"stack({len(slices)}, {entries}) as (slice, n)").filter(
+        f"n > 0 and ({wanted})"
+    )
+
+
 def fit_manifest(rows: DataFrame, categories: dict[str, Category], max_values: int = 5000) -> Manifest:
     """Observed values per category, in order.
 

@@ -5,13 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A picked list up to this many values is broadcast; a longer one is joined by shuffle.
-LIST_ROWS = 100_000
-
-# Copies of a long list, so that rows of one popular value are spread over as many tasks.
-SALTS = 32
-
-
 def values_in_band(rows: DataFrame, value: str, above: int, below: int | None = None) -> DataFrame:
     """Values with more than ``above`` (and fewer than ``below``) rows: (value, rows). Missing never counts."""
     counted = rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("rows"))
@@ -19,49 +12,33 @@ def values_in_band(rows: DataFrame, value: str, above: int, below: int | None =
     return picked if below is None else picked.filter(F.col("rows") < below)
 
 
-def join_value_list(rows: DataFrame, values: DataFrame, on: str, how: str, list_rows: int = LIST_ROWS) -> DataFrame:
-    """Join rows with a list of distinct values.
+def hot_value_split(rows: DataFrame, value: str, hot: DataFrame) -> DataFrame:
+    """Every row with ``value_group``: its value if that is in the list, else (or missing) ``other``.
 
-    The list is fetched up to ``list_rows`` + 1 values. If it fits it is broadcast; if not, both sides
-    are shuffled on (value, salt), with the list repeated per salt, so that no task gets all rows of
-    a popular value. The result is the same.
+    A plain left join: adaptive execution broadcasts the list if its measured size allows it, and splits the rows of a
+    popular value if not.
     """
-    head = values.limit(list_rows + 1).collect()
-    if len(head) <= list_rows:
-        return rows.join(F.broadcast(rows.sparkSession.createDataFrame(head, values.schema)), on, how)
-    salted = values.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    spread = rows.withColumn("salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int"))
-    return spread.join(salted, [on, "salt"], how).drop("salt")
-
-
-def hot_value_split(rows: DataFrame, value: str, hot: DataFrame, list_rows: int = LIST_ROWS) -> DataFrame:
-    """Every row with ``value_group``: its value if that is in the list, else (or missing) ``other``."""
     marked = hot.select(value, F.col(value).alias("value_group"))
-    joined = join_value_list(rows, marked, value, "left", list_rows)
-    return joined.select(*rows.columns, F.coalesce("value_group", F.lit("other")).alias("value_group"))
+    return rows.join(marked, value, "left").select(*rows.columns, F.coalesce("value_group", F.lit("other")).alias("value_group"))
 
 
 def _per_user(rows: DataFrame, value: str, key: str) -> DataFrame:
     return rows.groupBy(key, value).agg(F.count("*").alias("n"))
 
 
-def hot_value_counts(
-    rows: DataFrame, value: str, hot: DataFrame, key: str = "uid", list_rows: int = LIST_ROWS
-) -> DataFrame:
+def hot_value_counts(rows: DataFrame, value: str, hot: DataFrame, key: str = "uid") -> DataFrame:
     """(uid, value_group, n): rows per user and listed value, all others as one group.
 
     Rows are added up per (user, value) before they meet the list.
     """
-    split = hot_value_split(_per_user(rows, value, key), value, hot, list_rows)
+    split = hot_value_split(_per_user(rows, value, key), value, hot)
     return split.groupBy(key, "value_group").agg(F.sum("n").alias("n"))
 
 
-def listed_value_counts(
-    rows: DataFrame, value: str, listed: DataFrame, key: str = "uid", list_rows: int = LIST_ROWS
-) -> DataFrame:
+def listed_value_counts(rows: DataFrame, value: str, listed: DataFrame, key: str = "uid") -> DataFrame:
     """(uid, value, n): rows per user and listed value."""
     counted = _per_user(rows.filter(F.col(value).isNotNull()), value, key)
-    return join_value_list(counted, listed.select(value), value, "inner", list_rows).select(key, value, "n")
+    return counted.join(listed.select(value), value, "left_semi").select(key, value, "n")
 
 
 def label_skewed_values(
@@ -76,16 +53,16 @@ def label_skewed_values(
     """Values used by at least ``min_bad`` positive and at most ``max_good`` negative users.
 
     Rates are over the real class sizes of the labels at hand. ``fit_users`` limits the labels to the
-    users a model is fitted on, so that a holdout does not leak. Best separation first.
+    users a model is fitted on, so that a holdout does not leak. Rows meet the labels before they are deduplicated, so
+    only labelled users' pairs are. Best separation first.
     """
     known = labels.filter(F.col("label").isNotNull()).select(key, "label")
     if fit_users is not None:
         known = known.join(fit_users.select(key), key, "left_semi")
-    pairs = rows.filter(F.col(value).isNotNull()).select(value, key).distinct()
+    pairs = rows.filter(F.col(value).isNotNull()).select(value, key).join(known, key).distinct()
     sizes = known.agg(F.count_if(F.col("label") == 1).alias("bad"), F.count_if(F.col("label") == 0).alias("good"))
     counted = (
-        pairs.join(known, key)
-        .groupBy(value)
+        pairs.groupBy(value)
         .agg(
             F.count_if(F.col("label") == 1).alias("bad_times"),
             F.count_if(F.col("label") == 0).alias("good_times"),

@@ -18,6 +18,9 @@ HOT_ROWS = 500_000
 # Rank searches (hot users x medians) whose state may be broadcast: some 60 bytes each.
 BROADCAST_STATES = 1_000_000
 
+# Hot users whose list may be broadcast: some 60 bytes each.
+BROADCAST_USERS = 500_000
+
 BUCKETS = 4096
 LINEAR_LEVELS = 2
 
@@ -25,18 +28,15 @@ LINEAR_LEVELS = 2
 def split_hot(rows: DataFrame, hot_rows: int = HOT_ROWS, key: str = "uid") -> tuple[DataFrame, DataFrame | None, int]:
     """Rows of ordinary users, rows of hot users (None if there are none), and the number of hot users.
 
-    The count reads the key column only. The list of hot users has at most all rows / hot_rows
-    entries: with the default, 10^12 rows give no more than 2 * 10^6 short keys to broadcast.
+    The count reads the key column only. The list of hot users is broadcast up to ``BROADCAST_USERS`` of them; beyond
+    that it is joined by shuffle, where adaptive execution splits a hot user's rows.
     """
     hot = rows.groupBy(key).count().filter(F.col("count") > hot_rows).select(key)
     n_hot = hot.count()
     if n_hot == 0:
         return rows, None, 0
-    return (
-        rows.join(F.broadcast(hot), key, "left_anti"),
-        rows.join(F.broadcast(hot), key, "left_semi"),
-        n_hot,
-    )
+    listed = F.broadcast(hot) if n_hot <= BROADCAST_USERS else hot
+    return rows.join(listed, key, "left_anti"), rows.join(listed, key, "left_semi"), n_hot
 
 
 def _bucket(x: Column, lo: Column, hi: Column, log_scale: bool) -> Column:

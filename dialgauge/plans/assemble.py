@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.derive import with_call_fields, with_sms_fields, with_web_fields
-from ..operators.categories import Manifest
+from ..operators.categories import Category, Manifest, category_values, listed_cells
+from ..operators.frequent import values_in_band
 from ..operators.skew import HOT_ROWS
 from ..operators.wide import join_all, join_wide
 from . import sms as sms_plan
@@ -61,6 +64,48 @@ def fit_manifests(
     }
 
 
+def feature_values(
+    voice: DataFrame,
+    sms: DataFrame,
+    wa: DataFrame,
+    labels: DataFrame,
+    min_bad: int = web_plan.MIN_BAD,
+    max_good: int = web_plan.MAX_GOOD,
+    more_than: int = web_plan.HOT_ROWS_OF_NAME,
+    fit_users: DataFrame | None = None,
+) -> DataFrame:
+    """(source, dim, key): every one-hot value that the data at hand calls for, as a table of any length.
+
+    What ``fit_manifests`` fetches for the wide form: observed values of the voice and SMS categories, the web names
+    that lean to positive users (``bad``, W2) and the popular ones (``hot``, W4).
+    """
+    names = {
+        "bad": web_plan.skewed_names(wa, labels, min_bad, max_good, fit_users),
+        "hot": values_in_band(wa, "wa_name", more_than),
+    }
+    parts = [
+        category_values(with_call_fields(voice), voice_plan.CATEGORIES).selectExpr("'voice' as source", "dim", "key"),
+        category_values(with_sms_fields(sms), sms_plan.CATEGORIES).selectExpr("'sms' as source", "dim", "key"),
+        *[found.selectExpr("'wa' as source", f"'{dim}' as dim", "wa_name as key") for dim, found in names.items()],
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def feature_cells(voice: DataFrame, sms: DataFrame, wa: DataFrame, values: DataFrame) -> DataFrame:
+    """(uid, source, dim, key, slice, n): the one-hot part of M1 in long form, for the values of ``feature_values``."""
+    names = {dim: Category("wa_name", {"all": column}) for dim, column in web_plan.NAME_COLUMNS.items()}
+    tables = {
+        "voice": (with_call_fields(voice), voice_plan.CATEGORIES, voice_plan.SLICES),
+        "sms": (with_sms_fields(sms), sms_plan.CATEGORIES, sms_plan.SLICES),
+        "wa": (wa, names, {"all": None}),
+    }
+    parts = [
+        listed_cells(*table, values.filter(F.col("source") == source)).withColumn("source", F.lit(source))
+        for source, table in tables.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def full_feature_matrix(
     voice: DataFrame,
     sms: DataFrame,

@@ -7,7 +7,15 @@ import pytest
 
 from dialgauge.catalog import fixtures as fx
 from dialgauge.catalog.queries import accesses, calls, texts
-from dialgauge.operators import flat_features, hot_value_counts, listed_value_counts, values_in_band
+from dialgauge.operators import (
+    Category,
+    category_values,
+    flat_features,
+    hot_value_counts,
+    listed_cells,
+    listed_value_counts,
+    values_in_band,
+)
 from dialgauge.operators.skew import grouped_medians, split_hot
 from dialgauge.plans import sms as sms_plan
 from dialgauge.plans import voice as voice_plan
@@ -68,18 +76,47 @@ def test_hot_users_same_matrix(spark, small):
 
 
 def test_long_list_goes_by_shuffle(spark, small):
-    voice = fx.voice(spark, small)
-    hot = values_in_band(voice, "tel_opp_num", 9)
-    assert hot.count() > 3
-    short = hot_value_counts(voice, "tel_opp_num", hot)
-    long = hot_value_counts(voice, "tel_opp_num", hot, list_rows=3)
-    assert rows_of(short) == rows_of(long)
-    assert "Broadcast" not in long._jdf.queryExecution().optimizedPlan().toString()
-    wa = fx.web(spark, small)
-    names = values_in_band(wa, "wa_name", 50)
-    assert rows_of(listed_value_counts(wa, "wa_name", names)) == rows_of(
-        listed_value_counts(wa, "wa_name", names, list_rows=3)
-    )
+    """A list too large to broadcast gives the same rows; planning either join runs no job."""
+    voice, wa = fx.voice(spark, small), fx.web(spark, small)
+    assert values_in_band(voice, "tel_opp_num", 9).count() > 3
+
+    def counted():
+        hot, names = values_in_band(voice, "tel_opp_num", 9), values_in_band(wa, "wa_name", 50)
+        return hot_value_counts(voice, "tel_opp_num", hot), listed_value_counts(wa, "wa_name", names)
+
+    spark.sparkContext.setJobGroup("planning", "")
+    try:
+        planned = counted()
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("planning")
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    short = [rows_of(df) for df in planned]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        long = counted()
+        assert short == [rows_of(df) for df in long]
+        assert all("Broadcast" not in df._jdf.queryExecution().executedPlan().toString() for df in long)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+
+
+def test_hot_list_beyond_the_broadcast_bound(spark, small, monkeypatch):
+    voice = calls(spark, small)
+    broadcast = rows_of(voice_plan.len_stats(voice, hot_rows=60))
+    monkeypatch.setattr("dialgauge.operators.skew.BROADCAST_USERS", 0)
+    assert broadcast == rows_of(voice_plan.len_stats(voice, hot_rows=60))
+
+
+def test_values_beyond_any_column_limit(spark):
+    """20,000 different short numbers, each with one call: all are values and all are counted."""
+    rows = spark.range(20_000).selectExpr("concat('u', id % 7) as uid", "cast(id as string) as number", "id % 2 as io")
+    short = {"short": Category("number", {"all": "number_{}"})}
+    values = category_values(rows, short)
+    cells = listed_cells(rows, short, {"all": None, "in": "io = 1"}, values.filter("key <> '5'"))
+    assert values.count() == 20_000
+    assert cells.count() == 19_999 and {r.slice for r in cells.select("slice").distinct().collect()} == {"all"}
 
 
 def test_groups_add_up(spark, small):
