@@ -49,13 +49,16 @@ def packed_table(
 ) -> DataFrame:
     """One event kind's aggregations as struct columns, one row per user.
 
-    Rows of ordinary users are hashed by user, once per aggregation, with only the columns it reads;
-    everything after that (both levels of the two-level groups, the pivot, the joins) finds its data
-    in place. This moves narrow rows instead of partial aggregates of several hundred columns.
+    Rows of ordinary users are read and hashed by user once, and kept (in memory, then on disk; a lost executor's
+    share is computed again); all aggregations read that copy. Everything after it (both levels of the two-level groups,
+    the pivot, the joins) finds its data in place: adaptive execution drops the exchanges once the copy is there.
+    This moves narrow rows instead of partial aggregates of several hundred columns.
     Hot users are not gathered: they take partial aggregates, which shrink them before the shuffle.
+
+    The copy serves later matrices of the same rows too and stays until ``spark.catalog.clearCache()``.
     """
     cold, hot, n_hot = split_hot(rows, hot_rows, key)
-    out = _packed_parts(cold.repartition(key), spec, manifest, None, key, name)
+    out = _packed_parts(cold.repartition(key).persist(), spec, manifest, None, key, name)
     return out if hot is None else out.unionByName(_packed_parts(hot, spec, manifest, n_hot, key, name))
 
 

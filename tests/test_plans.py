@@ -25,16 +25,23 @@ def test_two_level_groups_add_up_before_each_shuffle(spark, small, name):
 
 
 @pytest.mark.parametrize("name", ["voice_feature_matrix", "sms_feature_matrix", "wa_feature_matrix"])
-def test_matrix_places_rows_by_user_once_per_shape(spark, small, name):
-    """As planned for tables too large to broadcast: the joins move nothing."""
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_matrix_places_rows_by_user_once(spark, small, name):
+    """As run for tables too large to broadcast: one scan, one exchange of raw rows, and nothing else moves."""
+    spark.catalog.clearCache()
+    settings = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    for setting in settings:
+        spark.conf.set(setting, "-1")
     try:
-        text = plan(QUERIES[name](spark, small))
+        matrix = QUERIES[name](spark, small)
+        matrix.collect()
+        final = plan(matrix).split("Initial Plan")[0]
     finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    exchanges = re.findall(r"Exchange (\w+)\(([^)]*)", text)
-    assert exchanges and all(kind == "hashpartitioning" and key.startswith("uid#") for kind, key in exchanges)
-    assert len(exchanges) == text.count("FileScan")
+        for setting in settings:
+            spark.conf.unset(setting)
+    assert "isFinalPlan=true" in final and "ENSURE_REQUIREMENTS" not in final
+    placed = set(re.findall(r"REPARTITION_BY_COL, \[plan_id=(\d+)", final))
+    scans = set(re.findall(r"FileScan parquet \[[^]]*\]", final))
+    assert len(placed) == 1 and len(scans) == 1
 
 
 def test_columns_and_filters_reach_the_scan(spark, small):
