@@ -37,6 +37,19 @@ def rank_submission(labelled: DataFrame) -> DataFrame:
     return labelled.orderBy(F.col("blend").desc(), "uid")
 
 
+def by_score(scored: DataFrame) -> DataFrame:
+    """(score, pos, rows): equal scores of (label, score) merged, which is all that the metrics below read.
+
+    Kept (in memory, then on disk) until ``spark.catalog.clearCache()``, so that the scores are computed once.
+    """
+    merged = (
+        scored.filter("label is not null and score is not null")
+        .groupBy("score")
+        .agg(F.count_if(F.col("label") == 1).alias("pos"), F.count("*").alias("rows"))
+    )
+    return merged.persist()
+
+
 def auc(scored: DataFrame) -> DataFrame:
     """Area under the ROC curve over (label, score); ties count half. One row: ``auc``.
 
@@ -45,11 +58,11 @@ def auc(scored: DataFrame) -> DataFrame:
     AUC_RANGES + 1) are counted up at the end. So no task sees more than one range, and the result is
     exact wherever the cuts lie. NULL unless both labels occur.
     """
-    merged = (
-        scored.filter("label is not null and score is not null")
-        .groupBy("score")
-        .agg(F.count_if(F.col("label") == 1).alias("pos"), F.count("*").alias("rows"))
-    )
+    return merged_auc(by_score(scored))
+
+
+def merged_auc(merged: DataFrame) -> DataFrame:
+    """``auc`` of what ``by_score`` gives."""
     steps = [i / AUC_RANGES for i in range(1, AUC_RANGES)]
     cuts = merged.agg(F.percentile_approx("score", steps, 10_000).alias("cuts")).scalar()
     ranged = merged.withColumn("cuts", cuts).withColumn(
@@ -79,15 +92,23 @@ def auc(scored: DataFrame) -> DataFrame:
 
 def f1_at(scored: DataFrame, cut: float = F1_CUT) -> DataFrame:
     """F1 with label 1 from ``cut`` on. One row: ``f1``; 0 if nothing is positive."""
+    rows = scored.filter("label is not null and score is not null")
+    return merged_f1(rows.select("score", (F.col("label") == 1).cast("long").alias("pos"), F.lit(1).alias("rows")), cut)
+
+
+def merged_f1(merged: DataFrame, cut: float = F1_CUT) -> DataFrame:
+    """``f1_at`` of what ``by_score`` gives."""
     hit = F.col("score") >= cut
-    real = F.col("label") == 1
-    counted = scored.filter("label is not null").agg(
-        F.count_if(hit & real).alias("tp"), F.count_if(hit & ~real).alias("fp"), F.count_if(~hit & real).alias("fn")
+    counted = merged.agg(
+        F.sum(F.when(hit, F.col("pos"))).alias("tp"),
+        F.sum(F.when(hit, F.col("rows"))).alias("called"),
+        F.sum("pos").alias("real"),
     )
-    return counted.select(F.coalesce(F.expr("try_divide(2 * tp, 2 * tp + fp + fn)"), F.lit(0.0)).alias("f1"))
+    return counted.select(F.coalesce(F.expr("try_divide(2 * tp, called + real)"), F.lit(0.0)).alias("f1"))
 
 
 def combined_score(scored: DataFrame, cut: float = F1_CUT) -> DataFrame:
     """0.6 AUC + 0.4 F1. One row: ``auc, f1, res``."""
-    both = auc(scored).withColumn("f1", f1_at(scored, cut).scalar())
+    merged = by_score(scored)
+    both = merged_auc(merged).withColumn("f1", merged_f1(merged, cut).scalar())
     return both.withColumn("res", AUC_WEIGHT * F.col("auc") + F1_WEIGHT * F.col("f1"))
