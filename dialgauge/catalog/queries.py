@@ -365,6 +365,7 @@ QUERIES: dict[str, Query] = {
     "voice_hour_class_counts": _on(calls, voice_plan.hour_class_counts),
     "voice_distinct": _on(calls, voice_plan.distinct),
     "voice_len_stats": _on(calls, voice_plan.len_stats),
+    "voice_len_stats_hot": _on(calls, lambda rows: voice_plan.len_stats(rows, hot_rows=0)),
     "voice_daily_len_stats": _on(calls, voice_plan.daily_len_stats),
     "voice_operator_len_stats": _on(calls, voice_plan.operator_len_stats),
     "voice_operator_counts": _on(calls, voice_plan.operator_counts),
@@ -410,6 +411,8 @@ QUERIES: dict[str, Query] = {
     "wa_active_days": _on(accesses, web_plan.active_days),
     "wa_daily_per_visit_stats": _on(accesses, web_plan.daily_per_visit_stats, LARGE_DIGITS),
     "wa_speed_stats": _on(accesses, web_plan.speed_stats, LARGE_DIGITS),
+    "wa_visit_stats_hot": _on(accesses, lambda rows: web_plan.visit_stats(rows, hot_rows=0)),
+    "wa_speed_stats_hot": _on(accesses, lambda rows: web_plan.speed_stats(rows, hot_rows=0), LARGE_DIGITS),
     "wa_feature_matrix": _on(accesses, lambda rows: web_plan.feature_matrix(rows, fx.MANIFESTS["wa"]), WIDE_DIGITS),
     # modelling and scoring
     "full_feature_matrix": _full_feature_matrix,
