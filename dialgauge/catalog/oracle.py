@@ -614,6 +614,13 @@ AVERAGED = "select uid, family, avg(score) as score from scores group by uid, fa
 BLENDED = """select uid, sum(case family when 'deep' then 0.96::double * score else 1.04::double * score end) as blend
     from averaged group by uid"""
 LABELLED = "select uid, blend, case when blend >= 0.911::double then 1 else 0 end as label from blended"
+
+
+def _scored_users(columns: str, *others: str) -> str:
+    """Every user without a label, once per row of the other tables."""
+    return _with(f"select uid, {columns} from {', '.join(['roster', *others])} where label is null", "roster")
+
+
 SCORED = "select uid, label, round(score, 9) as score from averaged join known using (uid) where family = 'deep'"
 _CHAIN = {"scores": SCORES, "averaged": AVERAGED, "blended": BLENDED, "labelled": LABELLED}
 
@@ -766,6 +773,10 @@ ROWS = {
     "sms_feature_matrix": _with(SMS_MATRIX, "s"),
     "wa_feature_matrix": _with(WEB_MATRIX, "w"),
     "holdout_split": _with(f"select uid, label, case when {_HASH} then 1 else 0 end as held from known", "known"),
+    "gbt_deep_scored_users": _scored_users("'deep' as family, seed, 1 as in_range", "(values (0), (7)) as s(seed)"),
+    "gbt_shallow_scored_users": _scored_users("'shallow' as family, seed, 1 as in_range", "(values (0), (1)) as s(seed)"),
+    "mlp_scored_users": _scored_users("1 as adds_up"),
+    "gbt_regression_scored_users": _scored_users("1 as adds_up"),
     "seed_average": _chain("select uid, family, round(score, @D) as score from averaged"),
     "weighted_blend": _chain("select uid, round(blend, @D) as blend from blended"),
     "threshold_label": _chain("select uid, round(blend, @D) as blend, label from labelled"),

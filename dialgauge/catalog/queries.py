@@ -266,10 +266,12 @@ def _feature_cells(spark, sf):
 
 # ---- models ------------------------------------------------------------------------------------
 
-# Small settings for the registered queries; the full ones are the defaults of the functions.
-SMALL_DEEP = replace(models.DEEP_A, depth=5, rounds=3, leaf_rows=5, seeds=[0, 7])
-SMALL_SHALLOW = replace(models.SHALLOW, rounds=3, leaf_rows=5, seeds=[0, 1])
-SMALL_REGRESSION = replace(models.REGRESSION, depth=4, rounds=3, leaf_rows=5)
+# Settings of the registered ensembles: full depth and sampling, but a tenth of the rounds, two of ten seeds, and leaves
+# that a few hundred labelled users can fill. The full ones are the defaults of the functions.
+FEWER_DEEP = replace(models.DEEP_A, rounds=30, leaf_rows=5, seeds=[0, 7])
+FEWER_SHALLOW = replace(models.SHALLOW, rounds=30, leaf_rows=5, seeds=[0, 1])
+# What holds for scores of any model is checked with a few rounds.
+CHECK_ROUNDS = 3
 
 
 def _full_feature_matrix(spark, sf):
@@ -292,12 +294,12 @@ def _holdout_split(spark, sf):
     return fit.withColumn("held", F.lit(0)).unionByName(held.withColumn("held", F.lit(1)))
 
 
-def _deep(spark, sf):
-    return models.deep_ensemble(*_train_and_score(spark, sf), settings=SMALL_DEEP)
+def _deep(spark, sf, settings=FEWER_DEEP):
+    return models.deep_ensemble(*_train_and_score(spark, sf), settings=settings)
 
 
-def _shallow(spark, sf):
-    return models.shallow_ensemble(*_train_and_score(spark, sf), settings=SMALL_SHALLOW)
+def _shallow(spark, sf, settings=FEWER_SHALLOW):
+    return models.shallow_ensemble(*_train_and_score(spark, sf), settings=settings)
 
 
 def _one_table(spark, sf, matrix):
@@ -307,14 +309,27 @@ def _one_table(spark, sf, matrix):
     return assemble.split_known(spark.read.parquet(path))
 
 
-def _perceptron(spark, sf):
+def _perceptron(spark, sf, **settings):
     matrix = sms_plan.feature_matrix(texts(spark, sf), fx.MANIFESTS["sms"])
-    return models.perceptron_scores(*_one_table(spark, sf, matrix), rounds=10)
+    return models.perceptron_scores(*_one_table(spark, sf, matrix), **settings)
 
 
-def _regression(spark, sf):
+def _regression(spark, sf, **settings):
     matrix = voice_plan.feature_matrix(calls(spark, sf), fx.MANIFESTS["voice"])
-    return models.regression_scores(*_one_table(spark, sf, matrix), settings=SMALL_REGRESSION)
+    return models.regression_scores(*_one_table(spark, sf, matrix), **settings)
+
+
+def _ensemble_scores(fit, settings) -> Query:
+    """Whom an ensemble scores, and whether the scores are probabilities."""
+    few = replace(settings, rounds=CHECK_ROUNDS)
+    in_range = "cast(score between 0 and 1 as int) as in_range"
+    return lambda spark, sf: fit(spark, sf, few).selectExpr("uid", "family", "seed", in_range)
+
+
+def _pair_scores(fit, **few) -> Query:
+    """Whom a model of one table scores, and whether both classes' scores add up to 1."""
+    adds_up = "cast(abs(p0 + p1 - 1) < 1e-9 as int) as adds_up"
+    return lambda spark, sf: fit(spark, sf, **few).selectExpr("uid", adds_up)
 
 
 QUERIES: dict[str, Query] = {
@@ -423,6 +438,12 @@ QUERIES: dict[str, Query] = {
     "gbt_shallow_ensemble": _shallow,
     "mlp_single_table": _perceptron,
     "gbt_regression_single_table": _regression,
+    "gbt_deep_scored_users": _ensemble_scores(_deep, FEWER_DEEP),
+    "gbt_shallow_scored_users": _ensemble_scores(_shallow, FEWER_SHALLOW),
+    "mlp_scored_users": _pair_scores(_perceptron, rounds=CHECK_ROUNDS),
+    "gbt_regression_scored_users": _pair_scores(
+        _regression, settings=replace(models.REGRESSION, rounds=CHECK_ROUNDS)
+    ),
     "seed_average": lambda spark, sf: rounded(scoring.seed_average(fx.scores(calls(spark, sf)))),
     "weighted_blend": lambda spark, sf: rounded(_blended(spark, sf)),
     "threshold_label": lambda spark, sf: rounded(_labelled(spark, sf)),
