@@ -2,8 +2,10 @@
 
 Tokens (runs of letters and digits, runs of other characters) and pairs of neighbouring tokens are hashed into
 ``BUCKETS``. Two multinomials over the buckets, one of trusted documents and one of all documents, give every bucket a
-log ratio; a document's score is the mean over its tokens and pairs. Log ratios are whole millionths, so
-sums do not depend on their order and a rerun decides alike.
+log ratio; a document's score is the mean over its tokens and pairs. The trusted multinomial is drawn towards the
+corpus's with the weight of ``PRIOR`` tokens, so a bucket that little trusted text speaks of has a ratio near 0 and scores
+do not fall with the number of labels. Log ratios are whole millionths, so sums do not depend on their order and a rerun
+decides alike.
 
 Defined cases: a null or empty text has no words, fails the base rule and scores 0; documents are judged row by
 row, so repeated rows get the same verdict; an empty table gives no rows; without trusted rows both multinomials
@@ -21,6 +23,8 @@ from .common import let, words
 SYMBOLS = "#*$%&|<>"
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]+"
 BUCKETS = 1 << 14
+# Tokens and pairs that the corpus counts for beside the trusted documents' own.
+PRIOR = 8 * BUCKETS
 # Documents that the trusted multinomial is fitted on at most; which ones, their ids' hashes decide.
 TRUSTED = 20_000
 # Mean log ratio, in nats, below which a document goes.
@@ -129,8 +133,10 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, text: str = "text", id_col:
     # A table of BUCKETS rows: its window and its array are bounded by that.
     total = Window.partitionBy()
     counts = counts.select("bucket", "raw", "target", F.sum("raw").over(total).alias("n"), F.sum("target").over(total).alias("m"))
-    ratio = F.log((F.col("target") + 1) / (F.col("m") + BUCKETS)) - F.log((F.col("raw") + 1) / (F.col("n") + BUCKETS))
-    micro = F.when(F.col("m") > 0, F.round(ratio * MICRO).cast("long")).otherwise(0)
+    usual = F.col("raw") / F.col("n")
+    ratio = F.log((F.col("target") + PRIOR * usual) / (F.col("m") + PRIOR)) - F.log(usual)
+    # A bucket that the corpus lacks has no trusted tokens either.
+    micro = F.when((F.col("m") > 0) & (F.col("raw") > 0), F.round(ratio * MICRO).cast("long")).otherwise(0)
     pairs = F.sort_array(F.collect_list(F.struct("bucket", micro.alias("micro"))))
     return counts.agg(F.transform(pairs, lambda x: x["micro"]).alias("ratios"))
 

@@ -5,6 +5,7 @@ import re
 import struct
 from collections import Counter
 
+import pytest
 import regex
 import xxhash
 from pyspark.sql import functions as F
@@ -77,6 +78,22 @@ def test_labels_are_separated(spark, small):
     assert sum(not r["kept"] for r in bad) >= 0.9 * len(bad)
 
 
+@pytest.mark.parametrize("every", [16, 2])
+def test_good_documents_without_a_label_stay(spark, small, every):
+    """Few labels or many: good documents that the ratio was not fitted on are kept, bad ones are not where many are."""
+    sf = small.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    marks = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    fitted = sorted(i for i, q in marks.items() if q == 1)[::every]
+    given = spark.createDataFrame([(i, 1) for i in fitted], "doc_id long, quality int")
+    rows = quality.judged(docs, given).select("row.doc_id", "base_failed", "kept").collect()
+    rows = [r for r in rows if not r["base_failed"]]
+    held = [r["kept"] for r in rows if marks.get(r["doc_id"]) == 1 and r["doc_id"] not in set(fitted)]
+    bad = [r["kept"] for r in rows if marks.get(r["doc_id"]) == 0]
+    assert len(held) > 100 and sum(held) >= 0.95 * len(held)
+    assert every > 2 or sum(bad) <= 0.1 * len(bad)
+
+
 def test_repeats(make_docs):
     texts = [
         "a b c d e a b c d e",
