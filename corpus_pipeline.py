@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialgauge.llm import decontam, packing, quality, secrets, simhash
+from dialgauge.llm import decontam, packing, quality, secrets, similar
 from dialgauge.llm.common import table, written
 
 
@@ -23,8 +23,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays; repeated rows become one."""
-    groups = simhash.near_duplicates(docs, size=5)
+    """Of each group of near copies (five-word similarity of 0.8 or more, or SimHash) the document with the smallest id
+    stays; repeated rows become one."""
+    groups = similar.near_copies(docs)
     gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"])
 
