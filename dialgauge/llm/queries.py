@@ -1,11 +1,11 @@
-"""The ten operators as queries over the test tables, with their production parameters."""
+"""The operators as queries over the test tables, with their production parameters."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, decontam, language, licenses, packing, pii, quality, secrets, simhash, urls
+from . import classifier, decontam, filters, language, licenses, neighbours, packing, pii, quality, secrets, simhash, tries, urls
 from .common import remainder, table
 
 
@@ -64,6 +64,18 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find_pii(table(spark, sf_dir, "documents")))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.interaction_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,5 +89,8 @@ QUERIES = {
         op8_license_scan,
         op9_simhash_duplicates,
         op10_pii,
+        op11_filter_audit,
+        op12_prefix_trie,
+        op13_embedding_duplicates,
     )
 }

@@ -1,10 +1,13 @@
 """The classifier on held-out labels, and the pipeline against a plain version."""
 
+import itertools
 import zlib
 
 import corpus_pipeline
 import pytest
+from test_duplicates import by_union
 from test_packing import plain  # noqa: F401
+from test_similar import of_words
 from test_spans import SECRETS, base
 
 from dialgauge.llm import classifier, decontam, queries, simhash
@@ -72,14 +75,17 @@ def test_quality_stage(spark, small, stages):
 
 
 def test_duplicate_stage(stages):
+    """Documents with a five-word similarity of 0.8 or more, or fingerprints within the radius, leave their smallest id."""
     before, after = texts_of(stages[1]), texts_of(stages[2])
     prints = {i: simhash.fingerprint(t, 5) for i, t in before.items()}
-    root = {i: i for i in prints}
-    for a in sorted(prints):
-        for b in sorted(prints):
-            if a < b and (prints[a] ^ prints[b]).bit_count() <= 4:
-                low, high = sorted((root[a], root[b]))
-                root = {i: low if r == high else r for i, r in root.items()}
+    sets = {i: of_words(t) for i, t in before.items()}
+    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    links = [
+        (a, b)
+        for a, b in itertools.combinations(sorted(before), 2)
+        if (prints[a] ^ prints[b]).bit_count() <= 4 or alike(a, b)
+    ]
+    root = by_union(before, links)
     assert after == {i: t for i, t in before.items() if root[i] == i}
     assert len(set(after.values())) == len(after)
 

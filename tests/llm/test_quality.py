@@ -54,10 +54,9 @@ def test_whole_table(spark, small):
         raw.update(b)
         target.update(b if i in good else [])
     n, m = raw.total(), target.total()
-    size = quality.BUCKETS
-    ratio = [
-        half_up(1e6 * (math.log((target[b] + 1) / (m + size)) - math.log((raw[b] + 1) / (n + size)))) for b in range(size)
-    ]
+    prior = 131_072
+    # The trusted share of a bucket, drawn towards the corpus's with the weight of ``prior`` tokens and pairs.
+    ratio = {b: half_up(1e6 * math.log((target[b] + prior * raw[b] / n) / (m + prior) / (raw[b] / n))) for b in raw}
     for r in queries.op1_quality_rules(spark, small).collect():
         text = texts[r["doc_id"]]
         counts = base(text)
