@@ -6,8 +6,8 @@ and the rest is grouped again. So nodes are discovered and aggregated in one des
 adds up before its shuffle: a prefix that a third of all conversations share is one row per task.
 
 Only digests (16 bytes) and sizes travel, in sections of ``SECTION`` levels: a row never holds more of a path than
-one section, however long the conversation. The levels of a section are one job, whose nodes are written. Jobs grow with
-the longest conversation's depth over ``SECTION``.
+one section, however long the conversation. Every level is written before the next one: a lost executor costs one level.
+There are as many levels as the longest conversation has turns.
 
 Defined cases: a null role or text is empty; turns with equal numbers stand in the order of their digests; rows with a
 null ``conv_id`` belong to no conversation; repeated rows are repeated turns; an empty table gives no rows; columns other
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -31,7 +30,7 @@ from .common import written
 # Conversations in a family of this many ids share the first turns of the first of them.
 FAMILY, MOST_SHARED = 5, 8
 # A path is the id of the node that its section starts from, then per turn the size of its text and the id it leads to.
-SECTION = 8
+SECTION = 16
 ID, ENTRY = 16, 24
 ROOT = b"\0" * ID
 CHUNK_IDS = 4096
@@ -147,24 +146,21 @@ def sections(rows: DataFrame, begun: DataFrame, section: int = SECTION) -> DataF
     return placed.mapInPandas(run, f"{_KEY} long, path binary, ended boolean, section int")
 
 
-def _by_section(rows: DataFrame, name: str) -> DataFrame:
-    """``rows`` through a table with one folder per section, so that each is read by itself."""
+def _by(column: str, rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` through a table with one folder per value of ``column``, so that each is read by itself."""
     spark = rows.sparkSession
     path = scratch_path(spark, name)
-    rows.write.partitionBy("section").parquet(path)
+    rows.write.partitionBy(column).parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def _last_id(path: str = "path") -> Column:
-    return F.expr(f"substring({path}, -{ID}, {ID})")
+# The texts below are the same for every depth, so that generated code is compiled once and not per level.
+LAST_ID = f"substring(path, octet_length(path) - {ID - 1}, {ID})"
+STRIPPED = f"substring(path, 1, octet_length(path) - {ENTRY})"
+LAST_SIZE = f"if(octet_length(path) > {ID}, cast(conv(hex(substring(path, octet_length(path) - {ENTRY - 1}, {ENTRY - ID})), 16, 10) as bigint), 0)"
 
 
-def _stripped(entries: int) -> Column:
-    """A path of so many entries without the last."""
-    return F.expr(f"substring(path, 1, {ID + (entries - 1) * ENTRY})")
-
-
-def _level(rows: DataFrame, entries: int) -> DataFrame:
+def _level(rows: DataFrame) -> DataFrame:
     """The nodes of one depth from survivors and ended conversations, with their own share added."""
     nodes = rows.groupBy("path").agg(
         F.min(_KEY).alias(_KEY),
@@ -173,52 +169,52 @@ def _level(rows: DataFrame, entries: int) -> DataFrame:
         F.sum("n_leaves").alias("n_leaves"),
         F.sum("saved_tokens").alias("saved_tokens"),
     )
-    last = F.expr(f"substring(path, {ID + (entries - 1) * ENTRY + 1}, {ENTRY - ID})")
-    size = F.conv(F.hex(last), 16, 10).cast("long") if entries else F.lit(0)
-    return nodes.select(
+    return nodes.selectExpr(
         "path",
         _KEY,
         "n_convs",
         "n_children",
-        F.when(F.col("n_children") == 0, 1).otherwise(F.col("n_leaves")).cast("long").alias("n_leaves"),
-        (F.col("saved_tokens") + (F.col("n_convs") - 1) * size).alias("saved_tokens"),
+        "if(n_children = 0, 1L, n_leaves) as n_leaves",
+        f"saved_tokens + (n_convs - 1) * {LAST_SIZE} as saved_tokens",
     )
 
 
+LEVEL = "path binary, " + ", ".join(f"{name} long" for name in AGGREGATES)
+
+
+def _survivors(nodes: DataFrame, path: Column) -> DataFrame:
+    """Nodes of a depth as rows of the depth above."""
+    return nodes.select(path.alias("path"), _KEY, "n_convs", F.lit(1).cast("long").alias("child"), "n_leaves", "saved_tokens")
+
+
 def peel(parts: DataFrame, section: int = SECTION) -> DataFrame:
     """(node, parent, depth, and the aggregates) of all nodes; ``parts`` as of ``sections``, one folder per section."""
-    zero = F.lit(0).cast("long")
-    ended = parts.where("ended").groupBy("path", "section").agg(F.min(_KEY).alias(_KEY), F.count("*").alias("n_convs"))
-    ended = ended.select("path", _KEY, "n_convs", zero.alias("child"), zero.alias("n_leaves"), zero.alias("saved_tokens"), "section")
-    ended = _by_section(ended, "ended")
+    spark, zero = parts.sparkSession, F.lit(0).cast("long")
+    depth = F.col("section") * section + ((F.octet_length("path") - ID) / ENTRY).cast("int")
+    ended = parts.where("ended").groupBy("path", depth.alias("depth")).agg(F.min(_KEY).alias(_KEY), F.count("*").alias("n_convs"))
+    ended = ended.select("path", _KEY, "n_convs", zero.alias("child"), zero.alias("n_leaves"), zero.alias("saved_tokens"), "depth")
+    ended = _by("depth", ended, "ended")
     deepest = parts.agg(F.max("section")).first()[0]
-    done, below = [], None
+    levels = scratch_path(spark, "levels")
+    below = None
     for at in range(-1 if deepest is None else deepest, -1, -1):
-        here = ended.where(F.col("section") == at).drop("section")
-        rows, levels = None, []
         if below is not None:
             # A node's smallest member leads to its path in this section, which all its members share.
             above = parts.where(F.col("section") == at).where("not ended").select(_KEY, "path")
-            rows = _survivors(below.join(above, _KEY), F.col("path"))
+            below = _survivors(below.drop("path").join(above, _KEY), F.col("path"))
         for entries in range(section, 0 if at else -1, -1):
-            ends = here.where(F.octet_length("path") == ID + entries * ENTRY)
-            nodes = _level(ends if rows is None else rows.unionByName(ends), entries)
-            parent = F.expr(f"substring(path, {ID + (entries - 1) * ENTRY - ID + 1}, {ID})") if entries else F.lit(None).cast("binary")
-            depth = F.lit(at * section + entries).cast("long")
-            levels.append(nodes.select(_last_id().alias("node"), parent.alias("parent"), depth.alias("depth"), *AGGREGATES))
-            rows = _survivors(nodes, _stripped(entries))
-        found = written(reduce(DataFrame.unionByName, levels), "levels")
-        below = found.where(F.col("depth") == at * section + 1)
-        done.append(found)
-    if done:
-        return reduce(DataFrame.unionByName, done)
-    counts = ", ".join(f"{name} long" for name in AGGREGATES)
-    return parts.sparkSession.createDataFrame([], f"node binary, parent binary, depth long, {counts}")
-
-
-def _survivors(nodes: DataFrame, path: Column) -> DataFrame:
-    """Nodes of a depth as rows of the depth above."""
-    return nodes.select(path.alias("path"), _KEY, "n_convs", F.lit(1).cast("long").alias("child"), "n_leaves", "saved_tokens")
+            here = ended.where(F.col("depth") == at * section + entries).drop("depth")
+            nodes = _level(here if below is None else below.unionByName(here))
+            own = f"{levels}/depth={at * section + entries}"
+            nodes.write.parquet(own)
+            below = spark.read.schema(LEVEL).parquet(own)
+            if entries > 1 or not at:
+                below = _survivors(below, F.expr(STRIPPED))
+    if deepest is None:
+        return spark.createDataFrame([], "node binary, parent binary, depth long, " + LEVEL.removeprefix("path binary, "))
+    parent = F.expr(f"substring(path, octet_length(path) - {ENTRY + ID - 1}, {ID})")
+    nodes = spark.read.schema(f"{LEVEL}, depth int").parquet(levels)
+    return nodes.select(F.expr(LAST_ID).alias("node"), F.when(F.col("depth") > 0, parent).alias("parent"), F.col("depth").cast("long").alias("depth"), *AGGREGATES)
 
 
 def endings(parts: DataFrame, chunk: int = CHUNK_IDS) -> DataFrame:
@@ -257,7 +253,7 @@ def endings(parts: DataFrame, chunk: int = CHUNK_IDS) -> DataFrame:
         if state is not None:
             yield pd.DataFrame([(node, state.hexdigest())], columns=["node", "ends_sha256"])
 
-    ended = parts.where("ended").select(_last_id().alias("node"), _KEY)
+    ended = parts.where("ended").select(F.expr(LAST_ID).alias("node"), _KEY)
     chunks = ended.repartitionByRange("node", _KEY).sortWithinPartitions("node", _KEY)
     chunks = chunks.mapInPandas(join, "node binary, first long, ids string")
     return chunks.repartition("node").sortWithinPartitions("node", "first").mapInPandas(digest, "node binary, ends_sha256 string")
@@ -266,7 +262,7 @@ def endings(parts: DataFrame, chunk: int = CHUNK_IDS) -> DataFrame:
 def prefix_trie(conversations: DataFrame, section: int = SECTION) -> DataFrame:
     """One row per node: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     rows = written(turns(conversations), "turns")
-    parts = _by_section(sections(rows, starts(rows), section), "sections")
+    parts = _by("section", sections(rows, starts(rows), section), "sections")
     nodes = peel(parts, section)
     names = nodes.select(F.col("node").alias("parent"), F.col(_KEY).alias("parent_conv_id"))
     rows = nodes.join(names, "parent", "left").join(endings(parts), "node", "left")
