@@ -673,6 +673,29 @@ _CELLS = "select c.* from (" + " union all ".join(
     for (source, dim), (view, value, where, slices) in _ONE_HOT.items()
 ) + ") c semi join picked using (source, dim, key)"
 
+# The fitted space: numeric features in the order of their names, then one slot per value and slice.
+_ALL_GROUPS = {"vn": [V[g] for g in _VOICE_GROUPS], "sn": [S[g] for g in _SMS_GROUPS], "wn": [W[g] for g in _WEB_GROUPS]}
+_NUMERIC = {
+    **{name: _side_by_side(groups).replace("@D", "12") for name, groups in _ALL_GROUPS.items()},
+    "numeric": "select uid, label, cast(coalesce(columns(* exclude (uid, label)), 0) as double) from (select uid, label from roster) "
+    "left join vn using (uid) left join sn using (uid) left join wn using (uid)",
+    "entries": "select * from (unpivot numeric on columns(* exclude (uid, label)) into name key value value)",
+}
+_ONE_HOT_SLICES = " union all ".join(
+    f"select '{source}' as source, '{dim}' as dim, '{slice_}' as slice"
+    for (source, dim), (_, _, _, slices) in _ONE_HOT.items()
+    for slice_ in slices
+)
+_SLOTS = {
+    "picked": _PICKED,
+    "slices": _ONE_HOT_SLICES,
+    "names": "select key, row_number() over (order by key) - 1 as slot from (select distinct key from entries)",
+    "hots": """select source, dim, key, slice, (select count(*) from names) - 1
+        + row_number() over (order by source, dim, key, slice) as slot from picked join slices using (source, dim)""",
+    "slots": "select slot, 'all' as source, 'numeric' as dim, key, 'all' as slice from names union all "
+    "select slot, source, dim, key, slice from hots",
+}
+
 ROWS = {
     "read_voice": _with("select * from voice", "voice"),
     "read_sms": _with("select * from sms", "sms"),
@@ -746,6 +769,19 @@ ROWS = {
     ),
     "feature_manifest": _with("select * from picked", "v", "s", "wa", "known", extra={"picked": _PICKED}),
     "feature_cells": _with(_CELLS, "v", "s", "wa", "known", extra={"picked": _PICKED}),
+    "feature_slots": _with("select slot, source, dim, key, slice from slots", "v", "s", "w", "known", extra={**_NUMERIC, **_SLOTS}),
+    "feature_slot_values": _with(
+        f"""select uid, label, cast(slot as int) as slot, value from (
+        select uid, label, slot, case when abs(value) < 1000 then round(value, 6) else round(value, 3) end as value
+        from (select uid, label, slot, value from entries join names using (key) union all
+              select r.uid, r.label, slot, n from roster r join ({_CELLS}) using (uid) join hots using (source, dim, key, slice))
+        ) where value <> 0""",
+        "v",
+        "s",
+        "w",
+        "known",
+        extra={**_NUMERIC, **_SLOTS},
+    ),
     "domain_outer": _with(
         _filled("select * from vm full join sm using (uid) full join wm using (uid)", "uid"),
         "v",
@@ -781,7 +817,8 @@ ROWS = {
     "weighted_blend": _chain("select uid, round(blend, @D) as blend from blended"),
     "threshold_label": _chain("select uid, round(blend, @D) as blend, label from labelled"),
     "rank_submission": _chain(
-        "select uid, round(blend, @D) as blend, label from labelled order by labelled.blend desc, uid"
+        "select uid, blend, label, row_number() over (order by blend desc, uid) as rank from "
+        "(select uid, round(blend, 6) as blend, label from labelled)"
     ),
     "auc": _scored(f"select round({AUC}, @D) as auc"),
     "f1_at": _scored(f"select round({F1}, @D) as f1"),

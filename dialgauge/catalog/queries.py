@@ -14,7 +14,7 @@ from .. import sources
 from ..functions import derive as d
 from ..functions.text import named
 from ..operators import hot_value_split, values_in_band
-from ..plans import assemble, models, scoring
+from ..plans import assemble, models, scoring, space
 from ..plans import sms as sms_plan
 from ..plans import voice as voice_plan
 from ..plans import web as web_plan
@@ -96,6 +96,11 @@ def _submission(spark, sf):
     return sources.read_predictions(spark, path)
 
 
+def _rank_submission(spark, sf):
+    """Blends are rounded first, because equal ones may differ in the last bit and would not tie."""
+    return scoring.rank_submission(_labelled(spark, sf).withColumn("blend", F.round("blend", 6)))
+
+
 def _predictions(spark, sf):
     path = scratch_path(spark, "predictions")
     labels(spark, sf).select("uid", "label").write.option("header", False).csv(path)
@@ -264,6 +269,29 @@ def _feature_cells(spark, sf):
     return assemble.feature_cells(fx.voice(spark, sf), fx.sms(spark, sf), fx.web(spark, sf), values)
 
 
+def _space(spark, sf):
+    """The feature space fitted on the data: numeric features, observed values, the names of W2 and W4."""
+    tables = fx.voice(spark, sf), fx.sms(spark, sf), fx.web(spark, sf)
+    numeric = space.numeric_names(space.numeric_matrix(*tables, fx.roster(spark, sf)))
+    return space.fit_space(_feature_manifest(spark, sf), numeric)
+
+
+def _vectors(spark, sf):
+    """M1 over the fitted space, written to the shared folder: every model reads it from there."""
+    tables = fx.voice(spark, sf), fx.sms(spark, sf), fx.web(spark, sf)
+    return space.feature_vectors(*tables, fx.roster(spark, sf), _space(spark, sf))
+
+
+def _feature_slots(spark, sf):
+    return _space(spark, sf).select("slot", "source", "dim", "key", "slice")
+
+
+def _slot_values(spark, sf):
+    """All features of all users, fitted columns included, as rows; small values with more digits."""
+    rows = space.slot_values(_vectors(spark, sf))
+    return rows.withColumn("value", F.expr("if(abs(value) < 1000, round(value, 6), round(value, 3))")).filter("value <> 0")
+
+
 # ---- models ------------------------------------------------------------------------------------
 
 # Settings of the registered ensembles: full depth and sampling, but a tenth of the rounds, two of ten seeds, and leaves
@@ -282,10 +310,7 @@ def _full_feature_matrix(spark, sf):
 
 
 def _train_and_score(spark, sf):
-    """Features of M1, written once to the shared folder: every model reads them from there."""
-    path = scratch_path(spark, "matrix")
-    _full_feature_matrix(spark, sf).write.parquet(path)
-    return assemble.split_known(spark.read.parquet(path))
+    return assemble.split_known(_vectors(spark, sf))
 
 
 def _holdout_split(spark, sf):
@@ -433,6 +458,8 @@ QUERIES: dict[str, Query] = {
     "full_feature_matrix": _full_feature_matrix,
     "feature_manifest": _feature_manifest,
     "feature_cells": _feature_cells,
+    "feature_slots": _feature_slots,
+    "feature_slot_values": _slot_values,
     "holdout_split": _holdout_split,
     "gbt_deep_ensemble": _deep,
     "gbt_shallow_ensemble": _shallow,
@@ -447,7 +474,7 @@ QUERIES: dict[str, Query] = {
     "seed_average": lambda spark, sf: rounded(scoring.seed_average(fx.scores(calls(spark, sf)))),
     "weighted_blend": lambda spark, sf: rounded(_blended(spark, sf)),
     "threshold_label": lambda spark, sf: rounded(_labelled(spark, sf)),
-    "rank_submission": lambda spark, sf: rounded(scoring.rank_submission(_labelled(spark, sf))),
+    "rank_submission": _rank_submission,
     "auc": lambda spark, sf: rounded(scoring.auc(_scored(spark, sf))),
     "f1_at": lambda spark, sf: rounded(scoring.f1_at(_scored(spark, sf))),
     "combined_score": lambda spark, sf: rounded(scoring.combined_score(_scored(spark, sf))),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .. import sources
 from ..session import scratch_path
-from . import assemble, models, scoring
+from . import assemble, models, scoring, space
 
 
 @dataclass(frozen=True)
@@ -28,10 +28,11 @@ class RoundInputs:
 
 
 def round_matrix(spark: SparkSession, inputs: RoundInputs, **name_thresholds) -> tuple[DataFrame, DataFrame]:
-    """Training and score matrix of a round.
+    """Training and score vectors of a round, (uid, label, features) and (uid, features).
 
-    Both are written once to the shared folder: boosting reads the training rows many times, and a
-    lost executor then costs a read and not the features again.
+    The feature space is fitted on the round's own events, however many values they hold. The vectors are written once to
+    the shared folder: boosting reads the training rows many times, and a lost executor then costs a read and not
+    the features again.
     """
     voice = sources.union_rounds(*[sources.read_voice(spark, p) for p in inputs.voice])
     sms = sources.union_rounds(*[sources.read_sms(spark, p) for p in inputs.sms])
@@ -42,11 +43,10 @@ def round_matrix(spark: SparkSession, inputs: RoundInputs, **name_thresholds) ->
     roster = sources.test_roster(spark, inputs.roster_start, inputs.roster_size)
     # Names are picked by the labels of the rows that trees grow on, not of those that stop them.
     grown_on = labels.filter(~models.in_holdout(seed=models.STOPPING_SEED)).select("uid")
-    manifests = assemble.fit_manifests(voice, sms, wa, labels, **{"fit_users": grown_on, **name_thresholds})
+    values = assemble.feature_values(voice, sms, wa, labels, **{"fit_users": grown_on, **name_thresholds})
     users = labels.unionByName(roster.join(labels, "uid", "left_anti"), allowMissingColumns=True)
-    path = scratch_path(spark, "round")
-    assemble.full_feature_matrix(voice, sms, wa, users, manifests).write.parquet(path)
-    return assemble.split_known(spark.read.parquet(path))
+    fitted = space.fit_space(values, space.numeric_names(space.numeric_matrix(voice, sms, wa, users)))
+    return assemble.split_known(space.feature_vectors(voice, sms, wa, users, fitted))
 
 
 def run_round(

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ranking import with_ranks
+
 # Blend weights and thresholds of the two rounds, the cut of the F1 metric, and the
 # weights of the combined score.
 ROUND_A = {"deep": 1.0, "shallow": 1.0, "threshold": 0.9}
@@ -33,8 +35,8 @@ def threshold_label(blended: DataFrame, threshold: float = 0.9) -> DataFrame:
 
 
 def rank_submission(labelled: DataFrame) -> DataFrame:
-    """Best blend first, user id as tie-break."""
-    return labelled.orderBy(F.col("blend").desc(), "uid")
+    """Best blend first, user id as tie-break, with the place as ``rank`` (1 is best)."""
+    return with_ranks(labelled, [F.col("blend").desc(), F.col("uid")]).orderBy("rank")
 
 
 def by_score(scored: DataFrame) -> DataFrame:

@@ -34,4 +34,4 @@ def test_two_rounds(spark, small):
     second_inputs = replace(inputs, predictions=first_out, roster_start=7000, roster_size=3)
     train, score = rounds.round_matrix(spark, second_inputs, **thresholds)
     assert train.count() == 20 and {r.uid for r in score.collect()} == {"u7000", "u7001", "u7002"}
-    assert [c for c in train.columns if c != "label"] == score.columns
+    assert [c for c in train.columns if c != "label"] == score.columns == ["uid", "features"]
