@@ -59,6 +59,15 @@ def fingerprint(text: str | None, size: int = 4) -> int:
     return int.from_bytes(np.packbits(bits).tobytes(), "big")
 
 
+def print_of(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles with these hashes, 0 for none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        lanes = hashes[at : at + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8) + _LANES
+        ones += (np.bincount(lanes.ravel(), minlength=2048).reshape(8, 256) @ _BITS).ravel()
+    return int.from_bytes(np.packbits((2 * ones > len(hashes)).astype(np.uint8)).tobytes(), "big")
+
+
 def fingerprints(docs: DataFrame, size: int = 4, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(id, fp): one row per input row, fp as a signed 64-bit number."""
 

@@ -98,7 +98,7 @@ def test_ids_in_chunks(spark, monkeypatch):
 
 
 def test_long_conversation(spark):
-    rows = [(10, t, "user", "word " * 50) for t in range(150)] + [(15, t, "user", "word " * 50) for t in range(140)]
+    rows = [(10, t, "user", "word " * 50) for t in range(40)] + [(15, t, "user", "word " * 50) for t in range(33)]
     frame = spark.createDataFrame([(*r, "x", 3) for r in rows], SCHEMA)
     assert found(tries.prefix_trie(frame, 50)) == plain_trie(rows)
 
