@@ -112,23 +112,23 @@ def best_path(scores: np.ndarray, first: np.ndarray, count: np.ndarray, switch:
 
     One step handles the next word of all texts that still have one.
     """
-    path = np.zeros(len(scores), np.int8)
+    path = np.zeros(len(scores), np.int16)
     order = np.argsort(-count, kind="stable")
     first, count = first[order], count[order]
     active = len(count) - np.searchsorted(count[::-1], np.arange(count[0] if len(count) else 0), side="right")
-    own = np.arange(scores.shape[1], dtype=np.int8)
-    back = np.zeros(scores.shape, np.int8)
+    own = np.arange(scores.shape[1], dtype=np.int16)
+    back = np.zeros(scores.shape, np.int16)
     value = np.zeros((len(count), scores.shape[1]), np.float32)
     for t, n in enumerate(active.tolist()):
         now, at = value[:n], first[:n] + t
         if t:
-            top = now.argmax(axis=1).astype(np.int8)
+            top = now.argmax(axis=1).astype(np.int16)
             changed = now[np.arange(n), top][:, None] - switch
             stays = now >= changed
             back[at] = np.where(stays, own, top[:, None])
             now = np.where(stays, now, changed)
         value[:n] = now + scores[at]
-    state = value.argmax(axis=1).astype(np.int8)
+    state = value.argmax(axis=1).astype(np.int16)
     for t in range(len(active) - 1, -1, -1):
         n = active[t]
         at = first[:n] + t

@@ -36,6 +36,13 @@ def test_best_path(seed):
         assert abs(value(tuple(got[at : at + n]), at) - best) < 1e-3
 
 
+def test_more_languages_than_a_byte_holds():
+    scores = np.full((4, 200), -9, np.float32)
+    scores[[0, 1, 2, 3], [199, 199, 130, 130]] = 9
+    got = language.best_path(scores, np.array([0]), np.array([4]), 5.0)
+    assert got.tolist() == [199, 199, 130, 130]
+
+
 LATIN = {"aa": "banana maraca pagana", "oo": "bosopo morolo pogono"}
 
 
