@@ -33,8 +33,9 @@ LONG_RUN = re.compile(r"\S{20000}|\s{20000}")
 def tokenizer(vocabulary: str = VOCABULARY):
     """A function from texts to lists of ids.
 
-    The ids are those of the ``tokenizers`` file of the vocabulary. The same vocabulary as ranks gives them several
-    times as fast, which the tests compare; texts with a very long run go through ``tokenizers`` itself.
+    The ids are those of the ``tokenizers`` file of the vocabulary, its special tokens in a text included. The same
+    vocabulary as ranks gives them several times as fast, which the tests compare; texts with a very long run go
+    through ``tokenizers`` itself.
     """
     import public_tokenizers
     import tiktoken
@@ -42,13 +43,16 @@ def tokenizer(vocabulary: str = VOCABULARY):
 
     with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    plain = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
+    special = {token.content: number for number, token in plain.get_added_tokens_decoder().items()}
+    ranks = {token: rank for token, rank in ranks.items() if rank not in special.values()}
+    fast = tiktoken.Encoding(vocabulary, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(text: str) -> list[int]:
         if len(text) > 20000 and LONG_RUN.search(text):
-            plain = Tokenizer.from_file(public_tokenizers.path(f"{vocabulary}.json"))
-            plain.encode_special_tokens = True
             return plain.encode(text, add_special_tokens=False).ids
+        if any(token in text for token in special):
+            return fast.encode(text, allowed_special="all")
         return fast.encode_ordinary(text)
 
     return encode

@@ -15,7 +15,6 @@ from dialgauge.llm import packing, queries
 @pytest.fixture(scope="module")
 def plain():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
@@ -58,7 +57,9 @@ def test_awkward(awkward, no_docs, plain):
 
 
 def test_special_strings_and_long_runs(make_docs, plain):
-    texts = ["<|endoftext|> is text", "a" * 30_000, " " * 30_000, "\n\n" * 15_000, "l'été’s 12 ½ 漢字 😀" * 50]
+    marked = ["<|endoftext|> is one id", "a <|endoftext|> b<|endoftext|>", "<|endoftext|>" * 3 + "é", "<|endoftext |>"]
+    texts = [*marked, "<|endoftext|>" + "b" * 30_000, "a" * 30_000, " " * 30_000, "\n\n" * 15_000, "l'été’s 12 ½ 漢字 😀" * 50]
+    assert plain(marked[1]) == [64, 220, 50256, 275, 50256]
     check(packing.pack(make_docs(texts)).collect(), dict(enumerate(texts)), plain)
 
 
