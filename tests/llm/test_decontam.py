@@ -68,6 +68,35 @@ def test_planted(planted):
         assert r["distance"] == 0 or r["doc_id"] % 5 == 3
 
 
+def test_middles_of_items(spark, make_docs):
+    """40 consecutive words of an item, wherever they begin, with 2 % of the characters edited."""
+    rng = random.Random(12)
+    items = [sentence(rng, rng.randint(45, 130)) for _ in range(12)]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts, leaks = [], set()
+    for k, item in enumerate(items):
+        found = item.split()
+        for _ in range(4):
+            at = rng.randint(0, len(found) - 40)
+            part = " ".join(found[at : at + 40])
+            leaks.add((len(texts), k))
+            texts.append(f"{sentence(rng, 50)} {edited(rng, part, len(part) // 50)} {sentence(rng, 50)}")
+        at = rng.randint(0, len(found) - 15)
+        texts.append(f"{sentence(rng, 50)} {' '.join(found[at : at + 15])} {sentence(rng, 50)}")
+    rows = decontam.contaminated(make_docs(texts), benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == leaks
+
+
+def test_scripts_without_blanks(spark, make_docs):
+    rng = random.Random(13)
+    han = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    items = [han(200), han(30), han(3), "supercalifragilistic expialidocious"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [han(80) + items[0][50:135] + han(80), han(9) + items[1], han(500), items[2] + han(9), "so " + items[3]]
+    rows = decontam.contaminated(make_docs(texts), benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == {(0, 0), (1, 1), (4, 3)}
+
+
 def test_passes_give_the_same(planted):
     docs, benchmark, _ = planted
     key = lambda r: (r["doc_id"], r["item_id"])
