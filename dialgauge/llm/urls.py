@@ -8,7 +8,8 @@ else allow.
 
 Defined cases: a null URL, or one without ://, has empty host and path, fits no rule and has no alias: it is allowed;
 repeated rows get the same verdict; an empty table gives no rows; columns other than id, URL and html are not looked
-at; links to relative addresses are read against the page's host, others than http(s) are no edges.
+at; relative addresses are read against the page's host and path, with &amp; decoded and dots in paths resolved, others
+than http(s) are no edges; a very long html is searched whole.
 """
 
 from __future__ import annotations
@@ -62,17 +63,34 @@ def alias_key(host_col: Column, path_col: Column, url: Column) -> Column:
     return F.when(host_col != "", F.xxhash64(plain))
 
 
-def targets(html: Column, host_col: Column) -> Column:
+def undotted(path_col: Column) -> Column:
+    """A path with its . and .. segments taken out; it never goes above the root."""
+    kept = F.aggregate(
+        F.split(path_col, "/"),
+        F.array().cast("array<string>"),
+        lambda done, part: F.when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1))))
+        .when(part == ".", done)
+        .otherwise(F.concat(done, F.array(part))),
+    )
+    return F.when(F.contains(path_col, F.lit("/.")), F.array_join(kept, "/")).otherwise(path_col)
+
+
+def targets(html: Column, host_col: Column, path_col: Column) -> Column:
     """Addresses that a page names as its own or sends its readers to."""
+    site = F.concat(F.lit("http://"), host_col)
+    page, folder = F.when(path_col == "", "/").otherwise(path_col), F.regexp_extract(path_col, "^.*/", 0)
+    folder = F.when(folder == "", "/").otherwise(folder)
     tags = F.when(
         F.lower(html).rlike("canonical|og:url|refresh"), F.regexp_extract_all(html, F.lit(_TAG), F.lit(0))
     ).otherwise(F.array().cast("array<string>"))
-    found = F.transform(tags, lambda tag: F.regexp_extract(tag, _TARGET, 1))
+    found = F.transform(tags, lambda tag: F.regexp_replace(F.regexp_extract(tag, _TARGET, 1), "(?i)&(amp|#38|#x26);", "&"))
     whole = F.transform(
         found,
         lambda t: F.when(t.startswith("//"), F.concat(F.lit("http:"), t))
-        .when(t.startswith("/"), F.concat(F.lit("http://"), host_col, t))
-        .otherwise(t),
+        .when(t.startswith("/"), F.concat(site, t))
+        .when(t.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (t == ""), t)
+        .when(t.rlike("^[?#]"), F.concat(site, page, t))
+        .otherwise(F.concat(site, folder, t)),
     )
     return F.filter(whole, lambda t: t.rlike("(?i)^https?://"))
 
@@ -93,11 +111,11 @@ def judged(
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     rows = rows.select(
         "id", "host", "path", rule.alias("rule"), verdict.alias("own"),
-        alias_key(F.col("host"), F.col("path"), F.col("url")).alias("node"), targets(F.col("html"), F.col("host")).alias("targets"),
+        alias_key(F.col("host"), F.col("path"), F.col("url")).alias("node"), targets(F.col("html"), F.col("host"), F.col("path")).alias("targets"),
     )
     rows = written(rows, "pages")
-    linked = rows.where("size(targets) > 0").select("node", F.explode("targets").alias("url"))
-    linked = linked.select("node", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"), "url")
+    linked = rows.where("size(targets) > 0 and node is not null").select("node", F.explode("targets").alias("url"))
+    linked = linked.select("node", host(F.col("url")).alias("host"), undotted(path(F.col("url"))).alias("path"), "url")
     linked = linked.select(
         "node", ruled(F.col("host"), F.col("path"), rules)[1].alias("own"), alias_key(F.col("host"), F.col("path"), F.col("url")).alias("to")
     )

@@ -70,6 +70,30 @@ def test_decisions_reach_aliases(spark):
     assert got[6] == got[7] == (None, "allow")
 
 
+def test_relative_addresses(spark):
+    refresh = "<meta http-equiv='refresh' content='0; url=%s'>"
+    given = [
+        page("http://y.com/de/a/page.html", "http://s.net/d/e/q.html"),
+        page("http://s.net/d/e/one", "q.html"),
+        page("http://s.net/d/e/two.html?x=1", "./q.html", refresh),
+        page("http://s.net/d/x/three", "../e/q.html"),
+        page("http://s.net/d/x/four", "http://s.net/d/./x/../e/q.html"),
+        page("http://y.com/de/b", "http://t.net/p?a=1&amp;b=2"),
+        page("http://t.net/p?k=7", "?a=1&#38;b=2"),
+        page("http://t.net/r", "p?a=1&amp;b=2"),
+        page("http://u.net", "/../../z/"),
+        page("http://y.com/de/c", "http://u.net/z"),
+        page("http://v.net/m", "mailto:a@y.com"),
+        page("http://v.net/n", "#top"),
+        page("none", "q.html"),
+        ("http://w.net/long", "<p>" * 200_000 + '<link rel="canonical" href="/../long2">'),
+        page("http://y.com/de/d", "http://w.net/long2"),
+    ]
+    pages = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(given)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in urls.judged(pages).collect()}
+    assert [k for k, v in sorted(got.items()) if v == "allow"] == [10, 11, 12] and len(got) == len(given)
+
+
 PHRASES = {"mit": ["mit", "license"], "apache": ["apache", "license"], "gpl": ["general", "public", "license"]}
 
 
