@@ -1,7 +1,9 @@
 """License scans: exact set-similarity join of text blocks with license templates. SQL functions only.
 
-Blocks are lines. A block meets a template when it holds at least ``CONTAINED`` of the template's distinct words. All
-template words are put in one order, rarest in the corpus first. A block that meets a template must hold one of the first
+Blocks are runs of words, whatever lines they stand on: twice as long as the longest template, one beginning every
+template length, so each notice lies whole in some block however it is wrapped. A block meets a template when it holds
+at least ``CONTAINED`` of the template's distinct words. All template words are put in one order, those rarest in blocks
+with template words first. A block that meets a template must hold one of the first
 |T| - need + 1 of its words (prefix filter), have ``need`` words at all (length filter), and from the shared word's place
 on still be able to reach ``need`` (positional filter). What is left is counted exactly, so the join misses nothing.
 
@@ -18,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import let, words, written
 
 # Words, and the phrases that are looked for as they stand.
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -47,12 +49,26 @@ def need(size: int, contained: float = CONTAINED) -> int:
     return max(1, math.ceil(contained * size - 1e-9))
 
 
-def block_rows(docs: DataFrame, vocabulary: list[str], text: str, id_col: str) -> DataFrame:
-    """(id, words, size): a row per line that holds any word of ``vocabulary``: those words, and all its distinct words."""
-    lines = docs.select(F.col(id_col).alias("id"), F.explode(F.split(F.lower(F.col(text)), "\n")).alias("line"))
-    split = lines.select("id", F.array_distinct(F.split("line", GAP)).alias("all"))
-    known = F.array_intersect("all", F.array(*[F.lit(w) for w in vocabulary]))
-    return split.select("id", known.alias("words"), F.size(F.array_remove("all", "")).alias("size")).where("size(words) > 0")
+def block_rows(docs: DataFrame, sets: dict[str, list[str]], width: int, contained: float, text: str, id_col: str) -> DataFrame:
+    """(id, words, size): a row per block that holds enough template words to meet any template: those words, and the
+    number of all its distinct words.
+
+    Blocks of 2 * ``width`` words begin every ``width`` words. A text is cut only if its words as a whole meet a template.
+    """
+    vocabulary = F.array(*[F.lit(w) for w in sorted({w for ws in sets.values() for w in ws})])
+    whole = F.array(*[F.struct(F.array(*map(F.lit, ws)).alias("ws"), F.lit(need(len(ws), contained)).alias("n")) for ws in sets.values()])
+    fewest = min(need(len(ws), contained) for ws in sets.values())
+
+    def reaches(known: Column) -> Column:
+        return (F.size(known) >= fewest) & F.exists(whole, lambda t: F.size(F.array_intersect(known, t["ws"])) >= t["n"])
+
+    rows = docs.select(F.col(id_col).alias("id"), words(F.lower(F.col(text)), GAP).alias("all"))
+    rows = rows.where(let(F.array_intersect("all", vocabulary), reaches))
+    starts = F.sequence(F.lit(0), F.floor((F.size("all") - 1) / width).cast("int"))
+    blocks = F.transform(starts, lambda k: F.array_distinct(F.slice("all", k * width + 1, 2 * width)))
+    blocks = rows.select("id", F.explode(blocks).alias("all"))
+    known = blocks.select("id", F.array_intersect("all", vocabulary).alias("words"), F.size("all").alias("size"))
+    return known.where(F.size("words") >= fewest)
 
 
 def similar(
@@ -66,7 +82,9 @@ def similar(
     spark = docs.sparkSession
     sets = {label: template_words(body) for label, body in templates.items()}
     vocabulary = sorted({w for ws in sets.values() for w in ws})
-    blocks = block_rows(docs, vocabulary, text, id_col)
+    width = max(len(re.findall(WORD, body)) for body in templates.values())
+    # Read twice below, and texts without a notice have no block.
+    blocks = written(block_rows(docs, sets, width, contained, text, id_col), "blocks")
     # Words of the templates, so many rows: how many blocks of the corpus hold each.
     counts = blocks.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     often = {r["word"]: r["n"] for r in counts.collect()}
@@ -117,7 +135,7 @@ def _rest(words: Column, k: Column, phrase: tuple[str, ...]) -> Column:
 def scanned(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **similarity) -> DataFrame:
     """(id, n_words, n_base, first_word, last_word, base_labels, labels, score): one row per input row.
 
-    The score is the best containment of a template in one of the row's lines, 1 where a phrase stands. Rows are told
+    The score is the best containment of a template in one of the row's blocks, 1 where a phrase stands. Rows are told
     apart by number, so repeated ids keep a row each.
     """
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import textwrap
 
 import pytest
 
@@ -104,8 +105,9 @@ def scan(text):
     starts = [k for ks in at.values() for k in ks]
     base = sorted(n for n, ks in at.items() if ks)
     own = {}
-    for line in (text or "").lower().split("\n"):
-        held = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line))
+    whole = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+    for at in range(0, len(whole), 16):
+        held = set(whole[at : at + 32])
         for label, template in licenses.TEMPLATES.items():
             words = set(licenses.template_words(template))
             if len(words & held) >= math.ceil(0.8 * len(words) - 1e-9):
@@ -144,6 +146,22 @@ def mangled():
     return texts
 
 
+@pytest.mark.parametrize("width", [12, 30, 70])
+def test_wrapped_notices(make_docs, width):
+    """Every template over several lines with comment marks, at all places, is found; its words far apart are not."""
+    texts, labels = [], []
+    for label, template in licenses.TEMPLATES.items():
+        for before in range(0, 40, 3):
+            lines = textwrap.wrap(template, width)
+            texts.append("word " * before + "\n# " + "\n#  ".join(lines) + "\nmore text " * 20)
+            labels.append(label)
+        texts.append((" and" * 40).join(template.split()))
+        labels.append("")
+    rows = licenses.scanned(make_docs(texts)).collect()
+    assert all(labels[r["doc_id"]] in r["labels"].split(",") for r in rows) and len(rows) == len(texts)
+    check_scans(rows, texts)
+
+
 def test_mangled_notices(make_docs, mangled):
     rows = licenses.scanned(make_docs(mangled)).collect()
     assert len(rows) == len(mangled) and len({r["labels"] for r in rows}) > 8
