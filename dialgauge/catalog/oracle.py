@@ -57,6 +57,13 @@ def _with(body: str, *views: str, extra: dict[str, str] | None = None) -> str:
     return f"with {', '.join(ctes)}\n{body}"
 
 
+_READ = [
+    ("voice", "tel_end_time", "uid tel_opp_num tel_opp_head tel_opp_len tel_start_time tel_end_time tel_call_type tel_in_and_out"),
+    ("sms", "cast(smg_start_time as bigint)", "uid smg_opp_num smg_opp_head smg_opp_len smg_start_time smg_in_and_out"),
+    ("wa", "down_flow", "uid wa_name visit_cnt visit_dura up_flow down_flow wa_type wa_date"),
+]
+
+
 # ---- pieces ------------------------------------------------------------------------------------
 
 
@@ -700,6 +707,18 @@ ROWS = {
     "read_voice": _with("select * from voice", "voice"),
     "read_sms": _with("select * from sms", "sms"),
     "read_wa": _with("select * from wa", "wa"),
+    "read_faults": _with(
+        "\nunion all ".join(
+            f"""select '{source}' as source, '{c}' as "column", count(*) as read,
+            count(*) filter (where {number} % 10 in (3, 4, 5)) as malformed,
+            count(*) filter (where {number} % 10 not in (3, 4, 5) and {c} is null) as missing from {source}"""
+            for source, number, columns in _READ
+            for c in columns.split()
+        ),
+        "voice",
+        "sms",
+        "wa",
+    ),
     "read_labels": _with("select uid, label from known", "known"),
     "test_roster": _with(
         "select 'u' || cast(range as varchar) as uid from range(5000, 5000 + (select count(*) from roster))", "roster"
@@ -855,4 +874,9 @@ def oracle_texts() -> dict[str, str]:
     texts.update({n: _with(sql, "w", "known") for n, sql in W.items()})
     # The way that very active users take, with all users on it: the same result.
     texts.update({f"{n}_hot": texts[n] for n in ("voice_len_stats", "wa_visit_stats", "wa_speed_stats")})
-    return {n: sql.replace("@D", "3" if n.removesuffix("_hot") in THREE_DIGITS else "6") for n, sql in texts.items()}
+    # States of two rounds merged: the same result as over all rows.
+    days = ("voice_daily_count_stats", "sms_daily_count_stats", "wa_daily_visit_stats", "wa_daily_dura_stats")
+    texts.update({f"{n}_merged": texts[n] for n in days})
+    moments = _stats("len", {"tel_len_": None, "tel_len_in_": "io = 1", "tel_len_out_": "io = 0"}, ["std", "max", "min", "mean", "sum"])
+    texts["voice_len_moments_merged"] = _with(_per_user("v", moments), "v")
+    return {n: sql.replace("@D", "3" if n.removesuffix("_hot").removesuffix("_merged") in THREE_DIGITS else "6") for n, sql in texts.items()}

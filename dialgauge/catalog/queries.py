@@ -10,15 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import sources
+from .. import schemas, sources
 from ..functions import derive as d
 from ..functions.text import named
 from ..operators import hot_value_split, values_in_band
-from ..plans import assemble, models, scoring, space
+from ..operators.states import load_rounds, save_round
+from ..plans import assemble, daily_states, models, scoring, space
 from ..plans import sms as sms_plan
 from ..plans import voice as voice_plan
 from ..plans import web as web_plan
 from ..session import scratch_path
+from ..sources.audit import account, read_accounted
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,6 +126,37 @@ def _by_source(tables):
     return reduce(DataFrame.unionByName, named_rows)
 
 
+# How rows are spoiled, by a number of theirs: a letter in the last field, a field too few, a field too many.
+FAULTY = {"voice": "tel_end_time", "sms": "cast(smg_start_time as bigint)", "wa": "down_flow"}
+
+
+def _read_faults(spark, sf):
+    """Each table as tab text with planted faults, and the account of reading it back."""
+    tables = {"voice": (fx.voice(spark, sf), schemas.VOICE), "sms": (fx.sms(spark, sf), schemas.SMS), "wa": (fx.web(spark, sf), schemas.WEB)}
+    accounts = {}
+    for source, (rows, schema) in tables.items():
+        fields = [f"coalesce(cast({c} as string), '')" for c in schema.names]
+        last = f"concat({fields[-1]}, case when {FAULTY[source]} % 10 = 3 then 'x' else '' end)"
+        short, line = (f"concat_ws('\t', {', '.join(part)})" for part in (fields[:-1], [*fields[:-1], last]))
+        line = f"case {FAULTY[source]} % 10 when 4 then {short} when 5 then concat({line}, '\t1') else {line} end"
+        path = scratch_path(spark, "faulty")
+        rows.selectExpr(f"{line} as value").write.text(path)
+        accounts[source] = account(read_accounted(spark, path, schema, name=source))
+    return _by_source(accounts)
+
+
+def _merged_rounds(source, states, build, moment: str, digits: int = 6) -> Query:
+    """Features from the stored states of two rounds: events with an even and with an odd ``moment``."""
+
+    def run(spark, sf):
+        rows, path = source(spark, sf), scratch_path(spark, "states")
+        for name, odd in (("A", 0), ("B", 1)):
+            save_round(states(rows.where(f"cast({moment} as bigint) % 2 = {odd}")), path, name)
+        return rounded(build(load_rounds(spark, path)), digits)
+
+    return run
+
+
 # ---- rows --------------------------------------------------------------------------------------
 
 
@@ -362,6 +395,7 @@ QUERIES: dict[str, Query] = {
     "read_voice": _through_text(fx.voice, sources.read_voice),
     "read_sms": _through_text(fx.sms, sources.read_sms),
     "read_wa": _through_text(fx.web, sources.read_wa),
+    "read_faults": _read_faults,
     "read_labels": _through_text(labels, sources.read_labels),
     "test_roster": _roster_size,
     "read_predictions": _predictions,
@@ -404,6 +438,19 @@ QUERIES: dict[str, Query] = {
     "voice_opp_len_counts": _on(calls, voice_plan.opp_len_counts),
     "voice_hour_class_counts": _on(calls, voice_plan.hour_class_counts),
     "voice_distinct": _on(calls, voice_plan.distinct),
+    "voice_daily_count_stats_merged": _merged_rounds(
+        calls, daily_states.voice_states, daily_states.voice_daily_count_stats, "tel_start_time"
+    ),
+    "voice_len_moments_merged": _merged_rounds(calls, daily_states.voice_states, daily_states.voice_len_moments, "tel_end_time"),
+    "sms_daily_count_stats_merged": _merged_rounds(
+        texts, daily_states.sms_states, daily_states.sms_daily_count_stats, "smg_start_time"
+    ),
+    "wa_daily_visit_stats_merged": _merged_rounds(
+        accesses, daily_states.web_states, daily_states.web_daily_visit_stats, "down_flow"
+    ),
+    "wa_daily_dura_stats_merged": _merged_rounds(
+        accesses, daily_states.web_states, daily_states.web_daily_dura_stats, "down_flow", LARGE_DIGITS
+    ),
     "voice_len_stats": _on(calls, voice_plan.len_stats),
     "voice_len_stats_hot": _on(calls, lambda rows: voice_plan.len_stats(rows, hot_rows=0)),
     "voice_daily_len_stats": _on(calls, voice_plan.daily_len_stats),
