@@ -1,5 +1,5 @@
 from .aggregate import Daily, Flat, Keyed, daily_features, flat_features, keyed_features, slice_stats
-from .categories import Category, category_counts, category_values, fit_manifest, listed_cells, long_counts, wide_counts
+from .categories import Category, category_counts, category_values, fit_manifest, listed_cells, listed_counts, long_counts, wide_counts
 from .frequent import (
     hot_value_counts,
     hot_value_split,
@@ -24,6 +24,7 @@ __all__ = [
     "wide_counts",
     "fit_manifest",
     "listed_cells",
+    "listed_counts",
     "values_in_band",
     "hot_value_split",
     "hot_value_counts",

@@ -43,10 +43,11 @@ def round_matrix(spark: SparkSession, inputs: RoundInputs, **name_thresholds) ->
     roster = sources.test_roster(spark, inputs.roster_start, inputs.roster_size)
     # Names are picked by the labels of the rows that trees grow on, not of those that stop them.
     grown_on = labels.filter(~models.in_holdout(seed=models.STOPPING_SEED)).select("uid")
-    values = assemble.feature_values(voice, sms, wa, labels, **{"fit_users": grown_on, **name_thresholds})
+    counts = assemble.settled_counts(assemble.value_counts(voice, sms, wa))
+    values = assemble.feature_values(voice, sms, wa, labels, **{"fit_users": grown_on, "counts": counts, **name_thresholds})
     users = labels.unionByName(roster.join(labels, "uid", "left_anti"), allowMissingColumns=True)
-    fitted = space.fit_space(values, space.numeric_names(space.numeric_matrix(voice, sms, wa, users)))
-    return assemble.split_known(space.feature_vectors(voice, sms, wa, users, fitted))
+    fitted = space.fit_space(values, space.fixed_names())
+    return assemble.split_known(space.feature_vectors(voice, sms, wa, users, fitted, counts))
 
 
 def run_round(
